@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, packing, quality_rules, records, secret_scan
+from . import decontaminate, html_extract, license_scan, line_dedup, packing, quality_rules, records, secret_scan
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,7 +43,11 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_packing, op4_decontamination, op5_license_scan, op6_quality_rules, op8_token_records)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_packing, op4_decontamination, op5_license_scan, op6_quality_rules, op8_token_records, op9_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -78,4 +82,12 @@ o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
       CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(z.n, 0) AS BIGINT) AS n_removed FROM d LEFT JOIN r USING (doc_id) LEFT JOIN z USING (doc_id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed >= 0.2 * n_words AS kept FROM o""",
+    "op9_line_dedup": rf"""
+WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, source, p, l[p] AS raw, trim(regexp_replace(lower(l[p]), '{_SPACE}', ' ', 'g')) AS line FROM d, unnest(range(1, len(l) + 1)) t(p)),
+y AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM x WHERE line <> ''),
+b AS (SELECT line FROM y GROUP BY line HAVING count(DISTINCT source) >= 10 AND count(DISTINCT coalesce(nxt, '')) >= 0.5 * count(*)),
+r AS (SELECT doc_id, count(*) AS n_removed FROM y WHERE line IN (SELECT line FROM b) GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY p) FILTER (line NOT IN (SELECT line FROM b)), '') AS text, count(*) FILTER (line <> '') AS n_lines FROM x GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM t JOIN r USING (doc_id)""",
 }
