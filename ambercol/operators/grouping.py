@@ -83,11 +83,11 @@ def _codes(values: DataFrame, order: list[Column], name: str = "code") -> DataFr
     from ..plans.scratch import written
 
     ordered = written(values.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id()), "codes")
-    sizes = ordered.groupBy("__part").agg(F.count("*").alias("c"), F.min("__n").alias("__first"))
+    sizes = ordered.groupBy("__part").agg(F.count("*").alias("c"), F.min("__n").alias("__begin"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(F.col("__part").alias("__p"), "__first", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__before"))
+    base = sizes.select(F.col("__part").alias("__p"), "__begin", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__before"))
     out = ordered.join(F.broadcast(base), F.col("__part") == F.col("__p"))
-    return out.withColumn(name, F.col("__n") - F.col("__first") + F.col("__before")).drop("__part", "__p", "__n", "__first", "__before")
+    return out.withColumn(name, F.col("__n") - F.col("__begin") + F.col("__before")).drop("__part", "__p", "__n", "__begin", "__before")
 
 
 def dictionary(df: DataFrame, column: str, order: str = "sorted", order_by: list[str] | None = None) -> DataFrame:
