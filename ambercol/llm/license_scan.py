@@ -30,15 +30,15 @@ LICENSES = {
     "bsd-4-clause": ("bsd 4 clause(?: licen[cs]e)?|original bsd licen[cs]e", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
     "0bsd": ("zero clause bsd(?: licen[cs]e)?|bsd zero clause licen[cs]e", "0bsd", "opensource org licenses 0bsd"),
     "isc": ("isc licen[cs]e", "isc", "opensource org licenses isc"),
-    "gpl-2": ("gnu general public licen[cs]e (?:as published by the free software foundation )?(?:version |v ?)2|gpl ?v?2", "gpl 2 0(?: only| or later)?", "gnu org licenses (?:old licenses )?gpl 2 0"),
-    "gpl-3": ("gnu general public licen[cs]e (?:as published by the free software foundation )?(?:version |v ?)3|gpl ?v?3", "gpl 3 0(?: only| or later)?", "gnu org licenses gpl 3 0"),
+    "gpl-2": ("gnu general public licen[cs]e (?:as published by the free software foundation )?(?:version |v ?)?2|gpl ?v?2", "gpl 2 0(?: only| or later)?", "gnu org licenses (?:old licenses )?gpl 2 0"),
+    "gpl-3": ("gnu general public licen[cs]e (?:as published by the free software foundation )?(?:version |v ?)?3|gpl ?v?3", "gpl 3 0(?: only| or later)?", "gnu org licenses gpl 3 0"),
     "gpl": ("gnu general public licen[cs]e|gnu gpl", "gpl", "gnu org licenses gpl"),
-    "lgpl-2.1": ("gnu (?:lesser|library) general public licen[cs]e (?:version |v ?)2(?: 1)?|lgpl ?v?2(?: 1)?", "lgpl 2 1(?: only| or later)?", "gnu org licenses (?:old licenses )?lgpl 2 1"),
-    "lgpl-3": ("gnu lesser general public licen[cs]e (?:version |v ?)3|lgpl ?v?3", "lgpl 3 0(?: only| or later)?", "gnu org licenses lgpl 3 0"),
+    "lgpl-2.1": ("gnu (?:lesser|library) general public licen[cs]e (?:version |v ?)?2(?: 1)?|lgpl ?v?2(?: 1)?", "lgpl 2 1(?: only| or later)?", "gnu org licenses (?:old licenses )?lgpl 2 1"),
+    "lgpl-3": ("gnu lesser general public licen[cs]e (?:version |v ?)?3|lgpl ?v?3", "lgpl 3 0(?: only| or later)?", "gnu org licenses lgpl 3 0"),
     "lgpl": ("gnu (?:lesser|library) general public licen[cs]e|gnu lgpl", "lgpl", "gnu org licenses lgpl"),
-    "agpl-3": ("gnu affero general public licen[cs]e(?: (?:version |v ?)3)?|agpl ?v?3", "agpl 3 0(?: only| or later)?", "gnu org licenses agpl"),
-    "mpl-1.1": ("mozilla public licen[cs]e (?:version |v ?)1 1", "mpl 1 1", "mozilla org mpl 1 1"),
-    "mpl-2": ("mozilla public licen[cs]e (?:version |v ?)2(?: 0)?", "mpl 2 0", "mozilla org (?:en us )?mpl 2 0"),
+    "agpl-3": ("gnu affero general public licen[cs]e(?: (?:version |v ?)?3)?|agpl ?v?3", "agpl 3 0(?: only| or later)?", "gnu org licenses agpl"),
+    "mpl-1.1": ("mozilla public licen[cs]e (?:version |v ?)?1 1", "mpl 1 1", "mozilla org mpl 1 1"),
+    "mpl-2": ("mozilla public licen[cs]e (?:version |v ?)?2(?: 0)?", "mpl 2 0", "mozilla org (?:en us )?mpl 2 0"),
     "epl-1": ("eclipse public licen[cs]e (?:version |v ?)?1(?: 0)?", "epl 1 0", "eclipse org legal epl v10"),
     "epl-2": ("eclipse public licen[cs]e (?:version |v ?)?2(?: 0)?", "epl 2 0", "eclipse org legal epl (?:v20|2 0)"),
     "eupl": ("european union public licen[cs]e", "eupl 1 [12]", "joinup ec europa eu (?:\\w+ )*eupl"),
@@ -83,7 +83,8 @@ PASSAGES = (
     ("zlib", r"in no event will the authors be held liable for any damages arising from the use of this software", 0.7),
     ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 0.6),
     ("proprietary", r"all rights reserved", 0.3),
-    ("proprietary", r"(?:proprietary and confidential|unauthori[sz]ed copying of this file)", 0.7),
+    ("proprietary", r"proprietary and confidential", 0.7),
+    ("proprietary", r"unauthori[sz]ed copying of this file", 0.7),
     ("proprietary", r"may not be (?:copied|reproduced|redistributed) without (?:the )?(?:prior |express |written )+(?:permission|consent)", 0.6),
 )
 #: What stands around a name, the detection's confidence and priority: the more a form says, the higher.
@@ -93,7 +94,7 @@ FORMS = (
     (r"(?:{names})", 0.6, 1),
 )
 #: Words one of which a text must hold before any rule of that word runs.
-KEYWORDS = ("license", "licence", "spdx", "public domain", "reserved", "permission", "creative commons", "cc0", "cc by", "gpl", "licensed", "unlicense", "confidential", "unauthorized", "unauthorised", "redistribution", "opensource org", "held liable", "gnu", "bsd", "creativecommons", "unencumbered", "any later version", "may not be")
+KEYWORDS = ("license", "licence", "spdx", "public domain", "reserved", "permission", "creative commons", "cc0", "cc by", "gpl", "licensed", "unlicense", "confidential", "unauthorized", "unauthorised", "redistribution", "opensource org", "held liable", "gnu", "bsd", "creativecommons", "unencumbered", "any later version", "may not be", "mozilla org", "eclipse org", "europa eu", "vimdoc", "sil org")
 
 
 class Rule:
