@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from ..plans.scratch import scratch_path, shared_dir, written
+
+__all__ = ["LOWER", "WORDS", "arrow_rows", "bounded", "lean", "scratch_path", "shared_dir", "table", "texts_of", "to_batch", "written"]
 
 #: bytes.translate table: A-Z become a-z, all else stays.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -24,36 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def bounded(df: DataFrame, label: str, most_rows: int = 1_000_000, weight: str | None = None) -> DataFrame:
+    """A table of short rows, written, and marked for broadcast only if it has shown to be small.
 
-    A temporary folder stands in for it only where the setting is absent, which is so in local tests.
+    It has at most ``most_rows`` rows then (with ``weight``, an expression, that sum to at most four times as much). A larger one
+    is joined as Catalyst sees fit, by shuffling both sides.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("shared_dir: spark.checkpoint.dir is not set. Fix: set it to a folder that all executors share.")
-        _LOCAL[app] = tempfile.mkdtemp(prefix="ambercol-")
-        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-    return f"file://{_LOCAL[app]}"
-
+    df = written(df, label)
+    rows, sum_of = df.agg(F.count("*"), F.sum(F.expr(weight or "1"))).first()
+    return F.broadcast(df) if rows <= most_rows and (sum_of or 0) <= 4 * most_rows else df
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/ambercol/{label}-{uuid.uuid4().hex}"
 
+def lean(run):
+    """A mapInArrow function that gives the memory of its batches back when a partition is done."""
 
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write a DataFrame as Parquet to the shared folder and read it again.
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
 
-    This cuts the lineage: what is lost with an executor is read from the files, not computed anew.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return wrapped
 
 
 def texts_of(batch: pa.RecordBatch, column: int | str) -> list[str]:

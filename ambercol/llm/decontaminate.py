@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: What stands between words: ASCII characters that are neither letters nor digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -107,6 +109,7 @@ def contamination_digests(docs: DataFrame, items: DataFrame) -> DataFrame:
 def remove_documents(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a verified occurrence, all columns as they are."""
     hit = occurrences(docs, items, n, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    hit = bounded(hit, "contaminated")
     return docs.join(hit, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
 
 

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, written
+
 SPACE = r"[\x20\x09-\x0D]+"
+_BLANK = " \t\n\x0b\f\r"
 
 
 def normalised(line: Column) -> Column:
@@ -28,11 +31,11 @@ def line_rows(docs: DataFrame, text_col: str = "text", site_col: str = "source")
     return rows.select("site", F.explode(pairs).alias("p")).select("site", "p.line", "p.next")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 0.25, lg_k: int = 12, context_share: float = 0.5, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 0.25, lg_k: int = 12, context_share: float = 0.3, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """Hashes of boilerplate lines: line, n_sites, exact (whether n_sites was counted), n_places, n_contexts."""
     rows = line_rows(docs, text_col, site_col)
     # a row for each line, site and neighbour: copies fold together before the sketches, whatever their number
-    places = rows.groupBy("line", "site", "next").agg(F.count("*").alias("n"))
+    places = written(rows.groupBy("line", "site", "next").agg(F.count("*").alias("n")), "places")
     sketches = places.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("site"), lg_k)).alias("estimate"), F.sum("n").alias("n_places"))
     spread = sketches.filter(F.col("estimate") >= (1 - band) * min_sites)
     near = spread.filter(F.col("estimate") <= (1 + band) * min_sites).select("line")
@@ -43,36 +46,46 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 0.25, lg_k:
     return out.select("line", "n_sites", F.col("n_exact").isNotNull().alias("exact"), "n_places", "n_contexts")
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, site_col: str, **limits) -> DataFrame:
+    """All rows and columns, with ``__gone``: positions of the text's boilerplate lines, NULL where there is none."""
+    bad = boilerplate(docs, text_col=text_col, site_col=site_col, **limits).select(F.col("line").alias("bad"))
+    raw = F.split(F.col(text_col), "\n", -1)
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.posexplode(F.transform(raw, lambda x: F.struct(normalised(x).alias("x")))).alias("pos", "l"))
+    rows = rows.filter(F.col("l.x") != "").select("__id", "__hash", "pos", F.xxhash64("l.x").alias("line"))
+    hit = rows.join(bounded(bad, "boilerplate"), F.col("line") == F.col("bad")).groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__gone"))
+    hit = bounded(hit, "gone", weight="size(__gone)")
+    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
+
+
+def _cleared(text_col: str) -> Column:
+    """The text without the lines in ``__gone``."""
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    return F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", **limits) -> DataFrame:
-    """doc_id, text_hash, text without boilerplate lines, n_lines (with a word), n_removed, for each row that loses a line.
+    """doc_id, text without boilerplate lines, n_lines (with a word), n_removed, for each row.
 
-    Other lines stay as they are, blank ones too. A null text has no lines; a null site is a site of its own; rows that repeat an
-    id and text give one row here; an empty table gives none. Other columns are not read.
+    Other lines stay as they are, blank ones too. A null text stays null and has no lines; a null site is a site of its own; rows
+    that repeat an id and text get equal results; an empty table gives no rows. Other columns are not read.
     """
-    bad = boilerplate(docs, text_col=text_col, site_col=site_col, **limits).select(F.col("line").alias("bad"))
-    raw = F.split(F.col(text_col), "\n", -1)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.transform(raw, lambda x: F.struct(normalised(x).alias("x")))).alias("pos", "l"))
-    rows = rows.filter(F.col("l.x") != "").select("doc_id", "text_hash", "pos", F.xxhash64("l.x").alias("line"))
-    hit = rows.join(bad, F.col("line") == F.col("bad")).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    found = texts.join(hit, F.col("i").eqNullSafe(F.col("doc_id")) & (F.xxhash64("t") == F.col("text_hash"))).dropDuplicates(["doc_id", "text_hash"])
-    parts = F.split("t", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    lines = F.filter(parts, lambda x: normalised(x) != "")
-    return found.select("doc_id", "text_hash", F.array_join(kept, "\n").alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+    rows = _marked(docs.select(id_col, text_col, site_col), id_col, text_col, site_col, **limits)
+    n_lines = F.size(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != ""))
+    return rows.select(
+        F.col(id_col).alias("doc_id"), _cleared(text_col).alias("text"), F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+    )
 
 
 def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str | None = "n_chars", **limits) -> DataFrame:
     """All documents, all columns, boilerplate lines taken out of the text; ``chars_col``, if any, follows the text."""
-    new = dedup_lines(docs, id_col, text_col, site_col, **limits).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("text").alias("__text"))
-    out = docs.join(new, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
-    text = F.coalesce("__text", docs[text_col])
-    columns = {text_col: text}
+    out = _marked(docs, id_col, text_col, site_col, **limits)
+    columns = {text_col: _cleared(text_col)}
     if chars_col and chars_col in docs.columns:
-        columns[chars_col] = F.when(F.col("__text").isNotNull(), F.char_length("__text").cast(docs.schema[chars_col].dataType)).otherwise(docs[chars_col])
-    return out.select(*(columns[c].alias(c) if c in columns else docs[c] for c in docs.columns))
+        columns[chars_col] = F.when(F.col("__gone").isNull(), F.col(chars_col)).otherwise(F.char_length(_cleared(text_col)).cast(docs.schema[chars_col].dataType))
+    return out.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
-    """For each document that loses a line: doc_id, n_lines, n_removed, text_sha256 of what is left."""
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+    """For each document: doc_id, n_lines, n_removed, text_sha256 of what is left."""
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

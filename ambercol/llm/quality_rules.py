@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, written
+
 SPACE = r"[\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\f\r"
 WINDOW = 8
@@ -71,7 +73,8 @@ def quality(docs: DataFrame, share: float = 0.03, least: int = 20, depleted: flo
     gone. A null or empty text has no words, and so is rejected. A null host is a host of its own. Rows that repeat an id and
     text on a host get equal results and count once. An empty table gives no rows. Other columns are not read.
     """
-    own = signals(docs, id_col, text_col, host_col)
+    # written, so that a filter on the result is not carried into the window expressions and evaluated for each window
+    own = written(signals(docs, id_col, text_col, host_col), "signals")
     often = frequent_lines(docs, share, least, id_col, text_col, host_col).select(F.col("host").alias("h"), F.col("line").alias("x"))
     lost = line_rows(docs, id_col, text_col, host_col).join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("x")))
     lost = lost.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t")).agg(F.aggregate(F.collect_set(F.struct("pos", "words")), F.lit(0).cast("long"), lambda n, x: n + x.words).alias("n_removed"))
@@ -84,5 +87,6 @@ def quality(docs: DataFrame, share: float = 0.03, least: int = 20, depleted: flo
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that the rules keep, all columns as they are."""
     bad = quality(docs, id_col=id_col, text_col=text_col, host_col=host_col).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).distinct()
+    bad = bounded(bad, "rejected")
     same = docs[id_col].eqNullSafe(F.col("__id")) & docs[host_col].eqNullSafe(F.col("__host")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
     return docs.join(bad, same, "left_anti")
