@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, label: str, most_rows: int = 1_000_000, weight: str | None = None) -> DataFrame:
+def bounded(df: DataFrame, label: str, most_rows: int = 300_000, weight: str | None = None) -> DataFrame:
     """A table of short rows, written, and marked for broadcast only if it has shown to be small.
 
     It has at most ``most_rows`` rows then (with ``weight``, an expression, that sum to at most four times as much). A larger one

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, to_batch, written
+from .common import lean, texts_of, to_batch, written
 from .tokens import encoder
 
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, part long, sequence long, offset long, done boolean"
@@ -84,21 +84,22 @@ class Packer:
             self.rows = []
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_windows: int = 32, fan_in: int = 32, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_windows: int = 32, fan_in: int = 32, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, remembered: int = 400_000, at_once: int = 1024) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
     Each token, with the end id after each document, lies in exactly one piece. A null or empty text is the end id alone. Rows
     that repeat an id are packed each for itself. An empty table gives no pieces. Other columns are not read. Sequences hold
-    ``capacity`` tokens, save the very last, which is padded when used.
+    ``capacity`` tokens, save the very last, which is padded when used. ``remembered`` pieces and ``at_once`` texts bound the
+    encoder's memory; they have no bearing on the result.
     """
 
     def first(batches):
-        e, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        e, end = encoder(tokenizer, remembered), end_id.to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId(), capacity, open_windows)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc_id, x in zip(ids[at : at + 256], e.encode(texts_of(batch.slice(at, 256), 1))):
+            for at in range(0, len(ids), at_once):
+                for doc_id, x in zip(ids[at : at + at_once], e.encode(texts_of(batch.slice(at, at_once), 1))):
                     packer.place(doc_id, 0, len(x) // 4 + 1, x + end)
                 yield from packer.batches()
         packer.close(False)
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_windows: in
         return run
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    level = written(rows.mapInArrow(first, _SCHEMA), "pack")
+    level = written(rows.mapInArrow(lean(first), _SCHEMA), "pack")
     out, base = level.filter("done"), 0
     parts = (level.agg(F.max("part")).first()[0] or 0) + 1
     while True:
@@ -132,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, open_windows: in
         left = level.filter("not done").withColumn("group", F.floor((F.col("part") - base) / fan_in))
         base += parts
         tasks = left.repartition(groups, "group").sortWithinPartitions("group", "part", "sequence", "offset")
-        level = written(tasks.mapInArrow(merge(base, groups == 1), _SCHEMA), "pack")
+        level = written(tasks.mapInArrow(lean(merge(base, groups == 1)), _SCHEMA), "pack")
         out = out.unionByName(level.filter("done"))
         if groups == 1:
             break

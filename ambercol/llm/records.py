@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_path, texts_of, to_batch
+from .common import lean, scratch_path, texts_of, to_batch
 from .tokens import encoder
 
 _HEAD, _HEAD_BYTES = "<QI", 12
@@ -82,7 +82,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
     ordered = rows.repartitionByRange(parts, "i").sortWithinPartitions("i", "t")
 
     def encode(batches):
-        e = encoder(tokenizer)
+        e = encoder(tokenizer, 250_000)  # beside sorted texts an executor has less room
         width = 2 if e.size <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         schema = pa.schema([("r", pa.binary())])
@@ -93,7 +93,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc
                 encoded = e.encode(texts_of(part, 1))
                 yield to_batch([(frame(i, np.frombuffer(x + end, "<u4"), width),) for i, x in zip(ids[at : at + 256], encoded)], schema)
 
-    ordered.mapInArrow(encode, "r binary").select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
+    ordered.mapInArrow(lean(encode), "r binary").select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/shards")
     build_index(spark, path)
 
 
@@ -115,7 +115,7 @@ def build_index(spark: SparkSession, path: str) -> None:
                 if rows:
                     yield to_batch(rows, schema)
 
-    _shards(spark, path).mapInArrow(index, "shard string, offset long, length long, doc_id long, n_tokens long").write.parquet(f"{path}/index")
+    _shards(spark, path).mapInArrow(lean(index), "shard string, offset long, length long, doc_id long, n_tokens long").write.parquet(f"{path}/index")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -156,7 +156,7 @@ def read_records(spark: SparkSession, path: str, wanted: DataFrame | None = None
                 if rows:
                     yield to_batch(rows, schema)
 
-    return shards.mapInArrow(read, "shard string, offset long, doc_id long, ids binary")
+    return shards.mapInArrow(lean(read), "shard string, offset long, doc_id long, ids binary")
 
 
 def record_digests(docs: DataFrame, tokenizer: str) -> DataFrame:

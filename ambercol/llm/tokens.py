@@ -1,8 +1,8 @@
-"""Whole-text encoding with the tokenizers library, faster by remembering the ids of space-led pieces.
+"""Whole-text encoding with the tokenizers library, faster by remembering the ids of pieces.
 
-A byte-level BPE splits a text before each single space that stands between characters which are no white space, whatever
-lies around it, so the piece from one such space to the next has the same ids in every text. The library encodes each new piece
-once; texts with other white space before a space are encoded whole.
+A byte-level BPE splits a text before each space or newline that follows a character which is no white space, and after the
+letters of a word that a comma or full stop follows, whatever lies around them. So the piece between two such places has the same
+ids in every text, and the library encodes each new piece once. Texts with longer runs of white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: White space before a space: the cut before that space is not always one of the tokenizer's.
-_UNSAFE = re.compile(r"\s ")
+#: White space that the tokenizer does not always cut before its last character, as it is assumed here.
+_UNSAFE = re.compile(r"\s |[^\S\n]\n|\n\n(?:\s|\Z)")
 _LONGEST = 64
 
 
@@ -24,7 +24,7 @@ class Encoder:
     what goes is merely encoded again.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,62 +38,76 @@ class Encoder:
         byte_level = "ByteLevel" in str(self.library.pre_tokenizer)
         for piece, i in vocabulary.items():
             self.leads[i] = byte_level and piece.startswith("Ġ")
-        self.by_piece = byte_level
+        self.by_piece = False
         self.remembered = remembered
-        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks, self.fixed = {}, {}
+        self.odd = {"", "\n"}  # pieces with white space at their end: their texts are looked at more closely
+        if byte_level:
+            newline, space, *marks = self._whole(["\n", " ", ",", "."])
+            self.newline = np.frombuffer(newline, "<u4")
+            self.marks = dict(zip(",.", marks))
+            self.fixed = {"": space, "\n": newline}  # a space that ends a text; an empty line
+            self.by_piece = len(newline) == 4
+        self.young: dict[str, bytes] = dict(self.fixed)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces in one text, each after a space; an id that begins with a space begins a piece."""
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.leads[ids])
+    def _learn(self, pieces: list[str], text: str, begins) -> None:
+        """Encode new pieces strung together as ``text``; ``begins`` tells the ids with which a piece begins."""
+        if not pieces:
+            return
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(begins(ids))
         if len(at) != len(pieces):
-            self.young.update(zip(pieces, self._whole([f" {p}" for p in pieces])))
+            self.young.update(zip(pieces, self._whole([p if p[0] == "\n" else f" {p}" for p in pieces])))
             return
         raw, ends = ids.tobytes(), (np.append(at, len(ids)) * 4).tolist()
         self.young.update({p: raw[ends[k] : ends[k + 1]] for k, p in enumerate(pieces)})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if self.by_piece and t and not _UNSAFE.search(t)]
-        for at in range(0, len(plain), 64):
-            self._plain([(i, texts[i]) for i in plain[at : at + 64]], out)
+        if self.by_piece:
+            self._by_piece(texts, out)
         rest = [i for i, x in enumerate(out) if x is None]
         if rest:
             for i, x in zip(rest, self._whole([texts[i] for i in rest])):
                 out[i] = x
         return out
 
-    def _plain(self, texts: list[tuple[int, str]], out: list) -> None:
-        split = [t.split(" ") for _, t in texts]
-        heads = self._whole([s[0] for s in split])
-        wanted = set().union(*[s[1:] for s in split])
-        wanted.discard("")
-        new = []
-        for piece in wanted.difference(self.young):
-            if (known := self.old.get(piece)) is not None:
-                self.young[piece] = known
-            else:
-                new.append(piece)
-        if new:
-            self._learn(new)
-        if "" not in self.young:
-            self.young[""] = self._whole([" "])[0]  # a space that ends a text
-        get = self.young.__getitem__
-        for (i, _), head, s in zip(texts, heads, split):
-            out[i] = head + b"".join(map(get, s[1:]))
-        if len(self.young) > self.remembered:
-            self.old, self.young = {k: v for k, v in self.young.items() if len(k) < _LONGEST}, {}
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+    def _by_piece(self, texts: list[str], out: list[bytes | None]) -> None:
+        """A piece is keyed by what follows its space; a line's first, and for that a text's first, by its newline and what follows."""
+        split = [None if t[:1].isspace() else f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
+        old = self.old
+        new = set().union(*filter(None, split)).difference(self.young)
+        self.odd.update(p for p in new if p[-1:].isspace())
+        for i, s in enumerate(split):
+            if s and not self.odd.isdisjoint(s) and _UNSAFE.search(texts[i]):
+                split[i] = None
+        young = self.young
+        young.update({p: old[p] for p in new if p in old})
+        new = new.difference(young)
+        stems = {p: p[:-1] for p in new if p[-1] in self.marks and p[-2:-1].isalpha()}
+        fresh = new.difference(stems).union(stems.values()).difference(young)
+        lines = [p for p in fresh if p[0] == "\n"]
+        spaced = list(fresh.difference(lines))
+        self._learn(spaced, " " + " ".join(spaced), self.leads.__getitem__)
+        self._learn(lines, "".join(lines), self.newline.__eq__)
+        young.update({p: young[stem] + self.marks[p[-1]] for p, stem in stems.items()})
+        get = young.__getitem__
+        for i, s in enumerate(split):
+            if s is not None:
+                out[i] = b"".join(map(get, s))[4:]
+        if len(young) > self.remembered:
+            self.old, self.young, self.odd = {k: v for k, v in young.items() if len(k) < _LONGEST}, dict(self.fixed), {"", "\n"}
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, remembered: int = 400_000) -> Encoder:
     """One encoder for a Python worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
