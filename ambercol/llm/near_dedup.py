@@ -3,10 +3,10 @@
 A document is its set of word shingles. A sketch has ``BINS`` coordinates, filled in rounds: in each round every shingle is hashed
 into one bin with a value that later rounds never undercut, and after as many rounds as there are bins each further round throws
 all shingles into one bin; so every coordinate fills, and the share of equal coordinates of two sketches is concentrated around
-the sets' Jaccard similarity as if all coordinates were independent. ``BANDS`` keys of ``ROWS`` coordinates propose candidates: at
-a similarity of 0.8 a pair shares no key with probability 5e-8. Sets that are equal are one node from the start.
+the sets' Jaccard similarity as if all coordinates were independent. ``BANDS`` keys of ``ROWS`` of them propose candidates: at a
+similarity of 0.8 a pair shares no key with probability 5e-8. Sets that are equal are one node from the start.
 
-No group's pairs are enumerated first: each member of a bucket is compared with the bucket's least member, in full. Only buckets
+No group's pairs are enumerated first: each member of a bucket is compared, in full, with the one that meets the most others. Only buckets
 whose members are then still in different components are looked at again: pairs of different components whose sketches agree
 enough are verified too, so that no proposed pair is lost. Such a bucket is first split by a second key if it is large (a passage
 that many documents share), and dealt out in blocks whatever its size.
@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, texts_of, to_batch, written
+from .common import LOWER, bounded, lean, texts_of, to_batch, written
 from .components import components
 
-BINS, ROWS = 128, 4
-BANDS = BINS // ROWS
-#: Share of equal coordinates under which a pair is not verified; a pair of similarity 0.8 is over five deviations above.
-AGREE = 0.6
+BINS, BANDS, ROWS = 256, 32, 4
+#: Share of equal coordinates under which a pair is not verified; a pair of similarity 0.8 is four deviations above, so that one in
+#: 30,000 such pairs is passed over, and a document only if that befalls all its links.
+AGREE = 0.7
 #: Members of a bucket that one task compares, and pairs of a bucket over which it is split by a second key.
 BLOCK, SPLIT_PAIRS = 4096, 4_000_000
 
@@ -42,7 +42,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -92,7 +92,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 def keys_of(coordinates: np.ndarray) -> np.ndarray:
     """A key for each band."""
-    c = coordinates.reshape(BANDS, ROWS)
+    c = coordinates[: BANDS * ROWS].reshape(BANDS, ROWS)
     acc = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_M2))
     for j in range(ROWS):
         acc = _mix(acc ^ c[:, j]) + np.uint64(j)
@@ -134,13 +134,14 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 picked = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(good))
                 yield picked
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose whole shingle sets are similar enough."""
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = bounded(wanted, "wanted")
     texts = written(texts.join(wanted, "id", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -161,56 +162,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 if rows:
                     yield to_batch(rows, schema)
 
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long"), "links")
 
 
-def _across(ids: list, comps: list, sketches: list, halves: list) -> list[tuple[int, int]]:
-    """Pairs of a bucket's members (or of two blocks of it) in different components whose sketches agree."""
+def _across(own: list[int], ids: list, comps: list, sketches: list, keys: list, halves: list) -> list[tuple[int, int]]:
+    """Pairs of a bucket's members (or of two blocks of it) in different components whose sketches agree.
+
+    A pair that shares several bands counts only in the bucket of the first of them (``own``: the bucket's key, or two).
+    """
     c, h = np.array(comps), np.array(halves)
-    m = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, BINS)
+    m, bands = np.frombuffer(b"".join(sketches), "<u2").reshape(-1, BINS), np.array(keys)
     out = []
     for i in range(len(ids) - 1):
         rest = slice(i + 1, None)
         may = np.flatnonzero((c[rest] != c[i]) & ((h[rest] != h[i]) | (h[i] < 0))) + i + 1
-        if len(may):
-            out += [(ids[j], ids[i]) if ids[j] > ids[i] else (ids[i], ids[j]) for j in may[(m[may] == m[i]).mean(axis=1) >= AGREE]]
+        may = may[(m[may] == m[i]).mean(axis=1) >= AGREE]
+        for j in may:
+            if bands[i][bands[i] == bands[j]][: len(own)].tolist() == own:
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
     return out
 
 
 def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, split: bool = True) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose sketches agree, from members (key, id) of buckets."""
-    rows = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "c")
+    """Pairs (a, b) of different components in one bucket whose sketches agree, from members (key, own, id) of buckets."""
+    rows = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "own", "id", "c")
     # pairs across components: half of the square of the whole less the squares of the parts
     parts = rows.groupBy("key", "c").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.sum("m").alias("all"), ((F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).filter("pairs > 0")
     rows = rows.join(mixed, "key")
     small = rows.filter(F.col("pairs") <= SPLIT_PAIRS) if split else rows
     blocks = F.ceil(F.col("all") / BLOCK).cast("int")
-    dealt = small.withColumn("g", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = small.withColumn("g", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     # in a task of two blocks only pairs across them count (halves 0 and 1), in one of a single block all (half -1)
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "c", F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("half"))
-    dealt = dealt.join(nodes.select("id", "sketch"), "id")
+    half = F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "own", "id", "c", half.alias("half"))
+    dealt = dealt.join(nodes.select("id", "sketch", "keys"), "id").select("task", "own", "id", "c", "sketch", "keys", "half")
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        task, held = None, ([], [], [], [])
+        task, bucket, held = None, [], ([], [], [], [], [])
         for batch in batches:
-            for t, *row in zip(*(batch.column(x).to_pylist() for x in ("task", "id", "c", "sketch", "half"))):
+            for t, own, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if t != task:
-                    if len(held[0]) > 1 and (found := _across(*held)):
+                    if len(held[0]) > 1 and (found := _across(bucket, *held)):
                         yield to_batch(found, schema)
-                    task, held = t, ([], [], [], [])
+                    task, bucket, held = t, own, ([], [], [], [], [])
                 for into, x in zip(held, row):
                     into.append(x)
-        if len(held[0]) > 1 and (found := _across(*held)):
+        if len(held[0]) > 1 and (found := _across(bucket, *held)):
             yield to_batch(found, schema)
 
-    parts_n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = dealt.repartition(parts_n, "task").sortWithinPartitions("task", "id").mapInArrow(run, "a long, b long")
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = dealt.repartition(tasks, "task").sortWithinPartitions("task", "id").mapInArrow(lean(run), "a long, b long")
     if split:
         large = rows.filter(F.col("pairs") > SPLIT_PAIRS).select("key", "id")
-        finer = large.join(nodes.select("id", F.explode("keys").alias("second")), "id").filter("second != key").select(F.xxhash64("key", "second").alias("key"), "id")
-        pairs = pairs.unionByName(_rest(finer, labels, nodes, split=False))
+        finer = large.join(nodes.select("id", F.explode("keys").alias("second")), "id").filter("second != key")
+        pairs = pairs.unionByName(_rest(finer.select(F.xxhash64("key", "second").alias("key"), F.array("key", "second").alias("own"), "id"), labels, nodes, split=False))
     return pairs
 
 
@@ -223,18 +230,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     is linked with nothing. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(rows.mapInArrow(_signatures(k), "id long, n long, set_hash binary, keys array<long>, sketch binary"), "signatures")
+    signed = written(rows.mapInArrow(lean(_signatures(k)), "id long, n long, set_hash binary, keys array<long>, sketch binary"), "signatures")
     full = signed.filter("n > 0 and id is not null")
     # equal sets have equal keys and sketches; counting them together first leaves no hot set
     nodes = written(full.groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     bands = nodes.select("id", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).filter("m > 1")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = written(bands.join(buckets, "key"), "members")
-    stars = members.filter("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    # the original of many near copies meets more of them than they meet each other
+    meets = members.groupBy("id").agg(F.sum("m").alias("meets"))
+    leaders = members.join(meets, "id").groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("minus"))).alias("most")).select("key", (-F.col("most.minus")).alias("leader"))
+    stars = members.join(leaders, "key").filter("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     links = _verified(_agreeing(stars, nodes, percent), rows, k, percent)
     labels = components(links)
     # a bucket of two had its one pair compared
-    more = _verified(_rest(members.filter("m > 2").select("key", "id"), labels, nodes).distinct(), rows, k, percent)
+    more = _verified(_rest(members.filter("m > 2").select("key", F.array("key").alias("own"), "id"), labels, nodes), rows, k, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     out = signed.select("id", "n", "set_hash").join(nodes.select("set_hash", F.col("id").alias("node")), "set_hash", "left").join(labels.withColumnRenamed("id", "node"), "node", "left")
@@ -246,6 +256,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     found = near_duplicates(docs, k, percent, id_col, text_col)
     found = written(found, "found")
     dropped = found.filter("component_id != doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    dropped = bounded(dropped, "dropped")
     out = docs.join(dropped, docs[id_col] == F.col("__id"), "left_anti")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates([id_col])

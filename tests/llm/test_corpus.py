@@ -169,7 +169,7 @@ def test_chains_copies_and_common_passages(spark, monkeypatch):
 
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(3)
-    for size in (1, 3, 40, 900):
+    for size in (1, 3, 40, 900):  # few and many per bin
         both = r.integers(0, 2**63, size, np.uint64)
         extra = r.integers(0, 2**63, size, np.uint64)
         a, b = np.unique(np.concatenate([both, extra[: size // 2]])), np.unique(np.concatenate([both, extra[size // 2 :]]))
