@@ -1,16 +1,23 @@
 """Line dedup by distinct-site spread.
 
 A HyperLogLog sketch of the sites that hold a line is kept for each line hash and merged by aggregation. Lines whose estimate is
-within ``band`` of the threshold, and only those, get an exact count of distinct sites. A line on enough sites is boilerplate if
-what surrounds it differs: of the distinct texts' places where it stands at least ``context_share`` have a neighbour line of
-their own. (Copies of a document spread over sites too, but they keep their neighbours; they are for near-dedup to judge.)
+within ``band`` of the threshold, and only those, get an exact count of distinct sites. Copies of a document spread their lines
+over sites too; they are for near-dedup to judge. Two rules tell them from boilerplate:
+
+* ``boilerplate``, that of the query's SQL: of all places where the line stands, copies included, at least ``context_share`` have
+  a next line of their own.
+* ``spread``, that of the pipeline: documents that near-dedup links are one class, which holds a line once and on one site. What
+  surrounds a line does not matter, so footers and all lines of a block go; and no share is diluted by copies or by size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from .common import bounded, written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,24 +38,46 @@ def line_rows(docs: DataFrame, text_col: str = "text", site_col: str = "source")
     return rows.select("site", F.explode(pairs).alias("p")).select("site", "p.line", "p.next")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 0.25, lg_k: int = 12, context_share: float = 0.3, text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """Hashes of boilerplate lines: line, n_sites, exact (whether n_sites was counted), n_places, n_contexts."""
+def _on_sites(places: DataFrame, min_sites: int, band: float, lg_k: int, *more: Column) -> DataFrame:
+    """Lines on ``min_sites`` sites or more: line, n_sites, n_exact (NULL where a sketch was enough) and ``more`` aggregates."""
+    sketches = places.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("site"), lg_k)).alias("estimate"), *more)
+    found = sketches.filter(F.col("estimate") >= (1 - band) * min_sites)
+    near = found.filter(F.col("estimate") <= (1 + band) * min_sites).select("line")
+    exact = places.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct(F.struct("site")).alias("n_exact"))
+    return found.join(exact, "line", "left").withColumn("n_sites", F.coalesce("n_exact", "estimate")).filter(F.col("n_sites") >= min_sites)
+
+
+def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 0.25, lg_k: int = 12, context_share: float = 0.3, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """Hashes of boilerplate lines: line, n_sites, exact (whether n_sites was counted), n_places, n_contexts; ids are not read."""
     rows = line_rows(docs, text_col, site_col)
     # a row for each line, site and neighbour: copies fold together before the sketches, whatever their number
     places = written(rows.groupBy("line", "site", "next").agg(F.count("*").alias("n")), "places")
-    sketches = places.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("site"), lg_k)).alias("estimate"), F.sum("n").alias("n_places"))
-    spread = sketches.filter(F.col("estimate") >= (1 - band) * min_sites)
-    near = spread.filter(F.col("estimate") <= (1 + band) * min_sites).select("line")
-    exact = places.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct(F.struct("site")).alias("n_exact"))
-    spread = spread.join(exact, "line", "left").withColumn("n_sites", F.coalesce("n_exact", "estimate")).filter(F.col("n_sites") >= min_sites)
-    around = places.join(spread.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("next").alias("n_contexts"))
-    out = spread.join(around, "line").filter(F.col("n_contexts") >= context_share * F.col("n_places"))
+    found = _on_sites(places, min_sites, band, lg_k, F.sum("n").alias("n_places"))
+    around = places.join(found.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("next").alias("n_contexts"))
+    out = found.join(around, "line").filter(F.col("n_contexts") >= context_share * F.col("n_places"))
     return out.select("line", "n_sites", F.col("n_exact").isNotNull().alias("exact"), "n_places", "n_contexts")
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, site_col: str, **limits) -> DataFrame:
+def spread(docs: DataFrame, min_sites: int = 10, band: float = 0.25, lg_k: int = 12, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """Hashes of lines that classes of near copies (five-word shingles, 0.8) hold on enough sites: line, n_sites, exact, n_classes.
+
+    A class that stands on several sites counts on one of them, drawn by a hash. So n_sites is never more than the number of sites
+    that can each be given a class of their own. Rows that repeat an id are one document.
+    """
+    found = near_dedup.near_duplicates(docs, 5, 80, id_col, text_col).filter("component_id != doc_id")
+    linked = bounded(found.groupBy(F.col("doc_id").alias("own")).agg(F.min("component_id").alias("linked")), "linked")
+    kept = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), normalised), lambda x: x != "")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(site_col).alias("site"), F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x))).alias("h"))
+    own = own.join(linked, F.col("id") == F.col("own"), "left")
+    rows = own.select(F.coalesce("linked", "id", "hash").alias("class"), "site", F.explode("h").alias("line"))
+    places = written(rows.groupBy("line", "class").agg(F.min_by("site", F.xxhash64("class", "site")).alias("site")), "places")
+    out = _on_sites(places, min_sites, band, lg_k, F.count("*").alias("n_classes"))
+    return out.select("line", "n_sites", F.col("n_exact").isNotNull().alias("exact"), "n_classes")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, site_col: str, rule: Callable[..., DataFrame], **limits) -> DataFrame:
     """All rows and columns, with ``__gone``: positions of the text's boilerplate lines, NULL where there is none."""
-    bad = boilerplate(docs, text_col=text_col, site_col=site_col, **limits).select(F.col("line").alias("bad"))
+    bad = rule(docs, text_col=text_col, site_col=site_col, id_col=id_col, **limits).select(F.col("line").alias("bad"))
     raw = F.split(F.col(text_col), "\n", -1)
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.posexplode(F.transform(raw, lambda x: F.struct(normalised(x).alias("x")))).alias("pos", "l"))
     rows = rows.filter(F.col("l.x") != "").select("__id", "__hash", "pos", F.xxhash64("l.x").alias("line"))
@@ -63,13 +92,13 @@ def _cleared(text_col: str) -> Column:
     return F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", **limits) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", rule: Callable[..., DataFrame] = boilerplate, **limits) -> DataFrame:
     """doc_id, text without boilerplate lines, n_lines (with a word), n_removed, for each row.
 
     Other lines stay as they are, blank ones too. A null text stays null and has no lines; a null site is a site of its own; rows
     that repeat an id and text get equal results; an empty table gives no rows. Other columns are not read.
     """
-    rows = _marked(docs.select(id_col, text_col, site_col), id_col, text_col, site_col, **limits)
+    rows = _marked(docs.select(id_col, text_col, site_col), id_col, text_col, site_col, rule, **limits)
     n_lines = F.size(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != ""))
     return rows.select(
         F.col(id_col).alias("doc_id"), _cleared(text_col).alias("text"), F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
@@ -77,9 +106,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str | None = "n_chars", **limits) -> DataFrame:
+def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str | None = "n_chars", rule: Callable[..., DataFrame] = spread, **limits) -> DataFrame:
     """All documents, all columns, boilerplate lines taken out of the text; ``chars_col``, if any, follows the text."""
-    out = _marked(docs, id_col, text_col, site_col, **limits)
+    out = _marked(docs, id_col, text_col, site_col, rule, **limits)
     columns = {text_col: _cleared(text_col)}
     if chars_col and chars_col in docs.columns:
         columns[chars_col] = F.when(F.col("__gone").isNull(), F.col(chars_col)).otherwise(F.char_length(_cleared(text_col)).cast(docs.schema[chars_col].dataType))

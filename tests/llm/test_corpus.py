@@ -117,6 +117,22 @@ def test_line_spread_near_the_threshold_is_counted(spark):
     assert stage.filter("n_chars != char_length(text)").count() == 0
 
 
+def test_footers_and_blocks_that_spread_over_sites_go_and_copies_stay(spark):
+    r = random.Random(8)
+    own = lambda n=60: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    block = ["first of a block", "second of a block", "third of a block"]
+    rows = [(i, "\n".join([own(), *block, own(), "a footer"]), f"s{i % 12}") for i in range(36)]
+    # many exact copies of one of the texts do not save its lines
+    rows += [(100 + i, rows[0][1], "s0") for i in range(400)]
+    article = [own(20) for _ in range(40)]
+    rows += [(1000 + i, "\n".join([*article[:i], own(5), *article[i:]]), f"s{i % 12}") for i in range(36)]
+    rows += [(2000 + i, "\n".join([own(), "a line of one site"]), "s3") for i in range(36)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = {x.doc_id: x.text.split("\n") for x in line_dedup.without_boilerplate(docs).collect()}
+    for i, text, _ in rows:
+        assert left[i] == [x for x in text.split("\n") if x != "a footer" and x not in block]
+
+
 def brute(rows, k, percent=80):
     sets = {}
     for i, text in rows:
