@@ -66,27 +66,50 @@ def frequent_lines(docs: DataFrame, share: float = 0.03, least: int = 20, id_col
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n_docs") > share * F.col("n")).select("host", "line", "n_docs")
 
 
-def quality(docs: DataFrame, share: float = 0.03, least: int = 20, depleted: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The signals of each row, with n_removed (words of lines above the limit), base_failed and kept.
-
-    A document is kept if it passes the in-document rules and at least ``depleted`` of its words are left once frequent lines are
-    gone. A null or empty text has no words, and so is rejected. A null host is a host of its own. Rows that repeat an id and
-    text on a host get equal results and count once. An empty table gives no rows. Other columns are not read.
-    """
+def _judged(docs: DataFrame, share: float = 0.03, least: int = 20, depleted: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``quality`` with ``gone``: positions of the lines above the limit in the text, NULL where there is none."""
     # written, so that a filter on the result is not carried into the window expressions and evaluated for each window
     own = written(signals(docs, id_col, text_col, host_col), "signals")
     often = frequent_lines(docs, share, least, id_col, text_col, host_col).select(F.col("host").alias("h"), F.col("line").alias("x"))
     lost = line_rows(docs, id_col, text_col, host_col).join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("x")))
-    lost = lost.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t")).agg(F.aggregate(F.collect_set(F.struct("pos", "words")), F.lit(0).cast("long"), lambda n, x: n + x.words).alias("n_removed"))
+    lost = lost.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t")).agg(F.sort_array(F.collect_set(F.struct("pos", "words"))).alias("x"))
+    lost = lost.select("d", "h", "t", F.aggregate("x", F.lit(0).cast("long"), lambda n, x: n + x.words).alias("n_removed"), F.col("x.pos").alias("gone"))
     on = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("host").eqNullSafe(F.col("h")) & (F.col("text_hash") == F.col("t"))
     out = own.join(lost, on, "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long"))).drop("d", "h", "t")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed") >= depleted * F.col("n_words")))
 
 
+def quality(docs: DataFrame, share: float = 0.03, least: int = 20, depleted: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The signals of each row, with n_removed (words of lines above the limit), base_failed and kept.
+
+    A document is kept if it passes the in-document rules and at least ``depleted`` of its words are left once frequent lines are
+    gone. A null or empty text has no words, and so is rejected. A null host is a host of its own. Rows that repeat an id and
+    text on a host get equal results and count once. An empty table gives no rows. Other columns are not read.
+    """
+    return _judged(docs, share, least, depleted, id_col, text_col, host_col).drop("gone")
+
+
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that the rules keep, all columns as they are."""
     bad = quality(docs, id_col=id_col, text_col=text_col, host_col=host_col).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).distinct()
     bad = bounded(bad, "rejected")
     same = docs[id_col].eqNullSafe(F.col("__id")) & docs[host_col].eqNullSafe(F.col("__host")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
     return docs.join(bad, same, "left_anti")
+
+
+def cleaned(docs: DataFrame, share: float = 0.03, least: int = 20, depleted: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
+    """The documents that the rules keep, all columns, lines above their host's limit taken out of the text.
+
+    Other lines stay as they are, blank ones too. ``chars_col``, if any, follows the text.
+    """
+    found = _judged(docs, share, least, depleted, id_col, text_col, host_col).filter("not kept or gone is not null")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"), F.col("gone").alias("__gone")).distinct()
+    found = bounded(found, "found", weight="greatest(size(__gone), 1)")
+    same = docs[id_col].eqNullSafe(F.col("__id")) & docs[host_col].eqNullSafe(F.col("__host")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
+    out = docs.join(found, same, "left").filter(F.coalesce("__kept", F.lit(True)))
+    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    columns = {text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest)}
+    if chars_col and chars_col in docs.columns:
+        columns[chars_col] = F.when(F.col("__gone").isNull(), F.col(chars_col)).otherwise(F.char_length(rest).cast(docs.schema[chars_col].dataType))
+    return out.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))

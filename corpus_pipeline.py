@@ -17,8 +17,8 @@ from ambercol.llm.queries import TOKENIZER
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.keep_good(docs)
+    """Documents that the quality rules keep, without their hosts' frequent lines; n_chars follows the text."""
+    return quality_rules.cleaned(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

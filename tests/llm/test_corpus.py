@@ -101,6 +101,20 @@ def test_depleted_documents_are_rejected_and_copies_are_not(spark):
     assert quality_rules.keep_good(lone).filter("doc_id < 60").count() == 60
 
 
+def test_frequent_lines_are_taken_out_of_kept_documents(spark):
+    menu, r = "Menu of  this host", random.Random(6)
+    own = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    rows = [(i, f"{menu}\n{own()}\n\n menu of this HOST \nend {i}", "a" if i % 2 else None) for i in range(60)]
+    rows += [(100, f"{menu}\n{own()}", "b"), (101, f"{menu}\ntoo short", "a"), (102, None, "a")]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, source string").withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    got = quality_rules.cleaned(docs)
+    assert got.columns == docs.columns and got.count() == 62
+    texts = {i: t for i, t, _ in rows}
+    for x in got.collect():
+        lines = texts[x.doc_id].split("\n")
+        assert x.text == ("\n".join(lines) if x.doc_id == 100 else "\n".join([lines[1], "", lines[4]])) and x.n_chars == len(x.text)
+
+
 def test_line_spread_near_the_threshold_is_counted(spark):
     rows = []
     for line, sites in (("on nine sites", 9), ("on ten sites", 10), ("On  Thirty sites", 30)):
