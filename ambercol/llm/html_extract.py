@@ -83,10 +83,11 @@ def _hint(attributes: str) -> tuple[str, str | None, bool]:
 def parse(page: str) -> list[Node]:
     """The DOM of a page, parents before children, text as nodes of tag '#'. Bad nesting and cut-off pages are borne.
 
-    Time is linear in the page: the open elements that an end tag may close are searched no further than the nearest scope.
+    Time is linear in the page: each tag's open elements are kept with their depths, so what an end tag closes is found at any depth.
     """
     nodes = [Node("html", -1)]
     stack = [0]
+    depths: dict[str, list[int]] = {}
     at, end = 0, len(page)
 
     def text(a: int, b: int) -> None:
@@ -96,12 +97,12 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node("#", stack[-1], text=" "))
 
     def close(tags: set[str] | frozenset[str], stops: frozenset[str] | set[str] = SCOPES) -> None:
-        for k in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-            if nodes[stack[k]].tag in tags:
-                del stack[k:]
-                return
-            if nodes[stack[k]].tag in stops:
-                return
+        innermost = lambda names: max((depths[x][-1] for x in names if depths.get(x)), default=0)
+        k = innermost(tags)
+        if k and k >= innermost(stops):
+            for gone in stack[k:]:
+                depths[nodes[gone].tag].pop()
+            del stack[k:]
 
     for m in _TAG.finditer(page):
         if m.start() < at:
@@ -130,6 +131,7 @@ def parse(page: str) -> list[Node]:
         hint, label, hidden = _hint(m[3]) if m[3] else ("none", None, False)
         nodes.append(Node("hidden" if hidden else tag, stack[-1], hint, label))
         if tag not in VOID and not m[3].endswith("/"):
+            depths.setdefault(nodes[-1].tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
     text(at, end)
     return nodes

@@ -195,3 +195,9 @@ def test_random_texts_never_fail():
         base, spans, _ = secret_scan.scan(text)
         assert base == base_spans(text)
         assert all(0 <= a < b <= len(text) for a, _, b, _ in spans)
+
+
+def test_an_end_tag_closes_its_element_at_any_depth():
+    nodes = html_extract.parse("<article>" + "<font>x" * 3000 + "</article><p>after</p>")
+    after = next(n for n in nodes if n.text == "after")
+    assert nodes[after.parent].tag == "p" and nodes[nodes[after.parent].parent].tag == "html"
