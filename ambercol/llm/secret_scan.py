@@ -1,14 +1,14 @@
 """Secret scan: a worklist of decoded layers, each scanned, its spans mapped to the text they come from.
 
-A layer is unwrapped by undoing URL escapes, Unicode escapes and character numbers, base64 runs, and gzip, zlib, bzip2 and
-zstandard streams within base64. Each new layer joins the worklist until nothing new turns up. A layer whose text and place were
+A layer is unwrapped by undoing URL escapes, Unicode escapes and character numbers, base64 runs, also those wrapped over lines,
+and gzip, zlib, bzip2 and zstandard streams within base64, all members of them, to any depth. Of bytes that are no text the
+printable stretches are scanned, in UTF-16 too. Each new layer joins the worklist until nothing new turns up. A layer whose text and place were
 seen before ends a cycle. Escapes map back character by character; a base64 run maps back as a whole.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
@@ -31,6 +31,13 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that only line ends and indentation part.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: The shortest secret has 12 characters, all of them ASCII.
+_PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+_UTF16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}|(?:\x00[\t\n\r\x20-\x7e]){12,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\x28\xb5\x2f\xfd")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
@@ -102,61 +109,121 @@ def _replaced(text: str, places: list[tuple[int, int]] | None, pattern: re.Patte
     return "".join(parts) + text[at:], spans + [whole(i, i + 1) for i in range(at, len(text))]
 
 
-def _inflated(data: bytes, most: int) -> bytes | None:
-    """What a compressed stream holds; None if it is none. Raises OverflowError beyond ``most`` bytes."""
-    try:
-        if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, most + 1)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, most + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(most + 1)
-        else:
-            return None
-    except (zlib.error, OSError, EOFError, ValueError):
-        return None
-    except Exception as e:  # zstandard's own error has no public base class but Exception
-        if type(e).__name__ != "ZstdError":
-            raise
-        return None
-    if len(out) > most:
-        raise OverflowError
-    return out
+def _opener(data: bytes, at: int):
+    """A decompressor for the stream that starts at a place, and how many bytes to hand it at once; None if none starts there."""
+    head = data[at : at + 4]
+    if head[:3] == b"\x1f\x8b\x08" or len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj(47), 1 << 14
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor(), 1 << 14
+    if head == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj(), 256  # has no bound for its output; a block of 4 bytes gives 128 KiB
+    return None
+
+
+def _inflated(data: bytes, at: int, most: int) -> tuple[bytes, int]:
+    """What the streams from a place on hold, members end to end, as far as they are whole, and where they end; ``at`` if none starts there.
+
+    Raises OverflowError beyond ``most`` bytes.
+    """
+    parts, total = [], 0
+    while opened := _opener(data, at):
+        d, step = opened
+        pos = at
+        while pos < len(data) and not d.eof:
+            piece = data[pos : pos + step]
+            try:
+                out = d.decompress(piece) if step == 256 else d.decompress(piece, most + 1 - total)
+            except (zlib.error, OSError, EOFError, ValueError):
+                return b"".join(parts), at
+            except Exception as e:  # zstandard's own error has no public base class but Exception
+                if type(e).__name__ != "ZstdError":
+                    raise
+                return b"".join(parts), at
+            parts.append(out)
+            if (total := total + len(out)) > most:
+                raise OverflowError
+            pos += len(piece) - len(d.unused_data)
+        at = pos
+        if not d.eof:
+            break
+    return b"".join(parts), at
 
 
-def _plain(data: bytes) -> str | None:
+def _plain(data: bytes) -> list[str]:
+    """The text that bytes are, or else their printable stretches, of one byte a character and of UTF-16."""
     try:
-        text = data.decode()
+        if not _CONTROL.search(text := data.decode()):
+            return [text]
     except UnicodeDecodeError:
-        return None
-    return None if _CONTROL.search(text) else text
+        pass
+    found = [m[0].decode() for m in _PRINTABLE.finditer(data)]
+    return found + [m[0].replace(b"\0", b"").decode() for m in _UTF16.finditer(data)]
+
+
+def _opened(data: bytes, most: int) -> tuple[list[str], int]:
+    """The texts in bytes and in the streams in them, to any depth; how many streams were too large."""
+    texts, large = [], 0
+    work, seen = [data], set()
+    while work:
+        data = work.pop()
+        key = hashlib.blake2b(data, digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        texts += _plain(data)
+        at = 0
+        while at < len(data):
+            try:
+                inner, end = _inflated(data, at, most)
+            except OverflowError:
+                inner, end = b"", at
+                large += 1
+            if inner:
+                work.append(inner)
+            # a zlib header is too weak to be looked for; it counts at the start only, and where another stream has ended
+            m = _MAGIC.search(data, max(end, at + 1))
+            at = m.start() if m else len(data)
+    return texts, large
+
+
+def _joined(text: str):
+    """(start, end, base64 characters) of each run, and of runs wrapped over lines.
+
+    Wrapped lines are of one width but for the last, which may be shorter, and the first, which may start within a line. Of lines
+    that only line ends part, each block of one width is joined, with and without the line before, and all of them together.
+    """
+    for m in _BASE64.finditer(text):
+        yield m.start(), m.end(), m[0]
+    for m in _WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(text, m.start(), m.end())]
+        ranges = {(0, len(lines))}
+        first = 0
+        while first < len(lines):
+            last = first
+            width = lines[first][1] - lines[first][0]
+            while last < len(lines) and lines[last][1] - lines[last][0] == width:
+                last += 1
+            over = last + (last < len(lines) and lines[last][1] - lines[last][0] < width)
+            ranges |= {(a, over) for a in (first, max(0, first - 1)) if over - a > 1}
+            first = last
+        for a, b in ranges:
+            body = "".join(text[x:y] for x, y in lines[a:b])
+            if len(body) >= 16:
+                yield lines[a][0], m.end() if b == len(lines) else lines[b - 1][1], body
 
 
 def _runs(text: str, most: int) -> tuple[list[tuple[int, int, str]], int]:
-    """(start, end, decoded text) of each base64 run that holds text, plain or compressed; how many were too large."""
+    """(start, end, decoded text) of what base64 runs hold, plain or compressed; how many streams were too large."""
     out, large = [], 0
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-            for _ in range(8):  # streams within streams
-                inner = _inflated(data, most)
-                if inner is None:
-                    break
-                data = inner
-        except (binascii.Error, ValueError):
-            continue
-        except OverflowError:
-            large += 1
-            continue
-        if (plain := _plain(data)) is not None:
-            out.append((m.start(), m.end(), plain))
+    for start, end, run in _joined(text):
+        body = run.rstrip("=").replace("-", "+").replace("_", "/")
+        body = body[: len(body) - (len(body) % 4 == 1)]  # one character alone holds no byte
+        texts, more = _opened(base64.b64decode(body + "=" * (-len(body) % 4)), most)
+        large += more
+        out += [(start, end, x) for x in texts]
     return out, large
 
 

@@ -7,12 +7,15 @@ import bz2
 import gzip
 import hashlib
 import html
+import io
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
 from ambercol.llm import html_extract, license_scan, secret_scan
 
@@ -201,3 +204,50 @@ def test_an_end_tag_closes_its_element_at_any_depth():
     nodes = html_extract.parse("<article>" + "<font>x" * 3000 + "</article><p>after</p>")
     after = next(n for n in nodes if n.text == "after")
     assert nodes[after.parent].tag == "p" and nodes[nodes[after.parent].parent].tag == "html"
+
+
+def _lines(data, width=76, end="\n"):
+    x = base64.b64encode(data).decode()
+    return end.join(x[i : i + width] for i in range(0, len(x), width))
+
+
+def _tar(name, data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        info = tarfile.TarInfo(name)
+        info.size = len(data)
+        t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+_NOISE = bytes(random.Random(4).randrange(256) for _ in range(300))
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        base64.b64encode(SECRET.encode("utf-16-le")).decode(), base64.b64encode(SECRET.encode("utf-16-be")).decode(), base64.b64encode(_tar(".env", SECRET.encode())).decode(), base64.b64encode(b"\xff\x01" + SECRET.encode() + b"\xfe").decode(),
+        _lines(zlib.compress(_NOISE + SECRET.encode())), "note\n" + _lines(gzip.compress(_NOISE + SECRET.encode()), 64, "\r\n  "), _lines(b"x" * 50 + SECRET.encode() + b"y" * 90, 70),
+    ],
+)
+def test_bytes_that_are_no_text_and_wrapped_runs_are_scanned(inner):
+    _, spans, folded = secret_scan.scan(f"before: {inner} after")
+    assert any(k == 0 and d > 0 for _, k, _, d in spans) and not folded
+
+
+def _deep(data, n):
+    for i in range(n):
+        data = (gzip.compress, bz2.compress, zlib.compress, zstandard.compress)[i % 4](data)
+    return data
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        _deep(SECRET.encode(), 20), gzip.compress(b"a") + gzip.compress(SECRET.encode()), bz2.compress(b"a") + bz2.compress(SECRET.encode()), zstandard.compress(b"a") + zstandard.compress(SECRET.encode()), zlib.compress(b"a") + zlib.compress(SECRET.encode()),
+        gzip.compress(SECRET[:12].encode()) + bz2.compress(SECRET[12:].encode()), b"head of a file" + gzip.compress(b"a") + b"\0" * 9 + zstandard.compress(SECRET.encode()),
+    ],
+)
+def test_streams_are_opened_to_any_depth_and_all_members(data):
+    _, spans, folded = secret_scan.scan(base64.b64encode(data).decode())
+    assert any(k == 0 and d > 0 for _, k, _, d in spans) and not folded
