@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import scratch_path, shared_dir, written
 
-__all__ = ["LOWER", "WORDS", "arrow_rows", "bounded", "lean", "scratch_path", "shared_dir", "table", "texts_of", "to_batch", "written"]
+__all__ = ["LOWER", "WORDS", "arrow_rows", "bounded", "lean", "scratch_path", "shared_dir", "table", "texts_of", "to_batch", "unused", "written"]
 
 #: bytes.translate table: A-Z become a-z, all else stays.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -34,6 +34,17 @@ def bounded(df: DataFrame, label: str, most_rows: int = 300_000, weight: str | N
     return F.broadcast(df) if rows <= most_rows and (sum_of or 0) <= 4 * most_rows else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that a table does not have, in any case of their letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lean(run):
     """A mapInArrow function that gives the memory of its batches back when a partition is done."""
 

@@ -178,7 +178,6 @@ def test_near_duplicates_are_those_of_brute_force(spark, small, k):
 
 def test_chains_copies_and_common_passages(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "SPLIT_PAIRS", 200)
     r = random.Random(4)
     word = lambda: f"w{r.randrange(10**5)}"
     base, rows = [word() for _ in range(120)], []
@@ -197,6 +196,63 @@ def test_chains_copies_and_common_passages(spark, monkeypatch):
     assert sorted(x.doc_id for x in near_dedup.keep_one(docs, 4).collect()) == sorted({c for _, c in got.values()})
 
 
+def test_groups_of_every_shape_are_those_of_brute_force(spark):
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**5)}"
+    rows, n = [], 0
+
+    def add(words):
+        nonlocal n
+        n += 1
+        rows.append((r.randrange(10**6) * 1000 + n, " ".join(words)))
+
+    def changed(words, rate):
+        out = []
+        for w in words:
+            kind = r.random() if r.random() < rate else 1
+            out += [] if kind < 0.3 else [word(), w] if kind < 0.5 else [word()] if kind < 1 else [w]
+        return out
+
+    base = [word() for _ in range(90)]
+    for _ in range(150):  # copies with words changed, dropped and put in, most of them near the threshold
+        add(changed(base, r.choice([0.005, 0.02, 0.03, 0.035, 0.05])))
+    for _ in range(8):  # families under the threshold from the base, each with members of its own
+        family = changed(base, 0.06)
+        for _ in range(r.randint(1, 6)):
+            add(changed(family, 0.015))
+    for size in (30, 45, 58, 70, 90, 140):  # parts and extensions of the base: other sizes
+        part = (base + [word() for _ in range(60)])[:size]
+        for _ in range(5):
+            add(changed(part, 0.01))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(docs, 4).collect()}
+    want = brute(rows, 4)
+    assert got == want and len({c for _, c in want.values()}) > 40
+
+
+def test_pairs_of_exactly_the_threshold_are_linked(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(200):  # 80 shingles, all of them in a set of 100: 0.8; or in one of 101
+        words = [f"w{r.randrange(10**7)}" for _ in range(83)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *(f"x{r.randrange(10**7)}" for _ in range(20 if i % 2 else 21))]))]
+    want = brute(rows, 4)
+    assert {want[2 * i + 1][1] == 2 * i for i in range(1, 200, 2)} == {True} and {want[2 * i + 1][1] == 2 * i for i in range(0, 200, 2)} == {False}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == want
+
+
+def test_one_of_each_group_is_kept_and_no_row_without_an_id_is_lost(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, text), (None, text), (None, None), (3, text), (3, text), (5, text), (5, "another text of the same id with words enough"), (7, ""), (7, ""), (8, None), (9, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS __id", "'y' AS id", "'z' AS hash")
+    got = near_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    left = sorted(((x.doc_id, x.text) for x in got.collect()), key=str)
+    assert left == sorted([(None, text), (None, text), (None, None), (3, text), (5, rows[6][1]), (7, ""), (7, ""), (8, None), (9, rows[10][1])], key=str)
+    assert all(x.component_id is None for x in near_dedup.near_duplicates(docs).filter("doc_id is null").collect())
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(3)
     for size in (1, 3, 40, 900):  # few and many per bin
