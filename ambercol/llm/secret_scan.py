@@ -3,7 +3,8 @@
 A layer is unwrapped by undoing URL escapes, Unicode escapes and character numbers, base64 runs, also those wrapped over lines,
 and gzip, zlib, bzip2 and zstandard streams within base64, all members of them, to any depth. Of bytes that are no text the
 printable stretches are scanned, in UTF-16 too. Each new layer joins the worklist until nothing new turns up. A layer whose text and place were
-seen before ends a cycle. Escapes map back character by character; a base64 run maps back as a whole.
+seen before ends a cycle. Escapes map back character by character; a base64 run maps back as a whole. A run is decoded from each of
+its first four characters, as a word or a path may stand before it without a break.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import bz2
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,21 +94,52 @@ def _percents(m: re.Match) -> list[tuple[str, int, int]]:
     return out
 
 
-def _replaced(text: str, places: list[tuple[int, int]] | None, pattern: re.Pattern, decode) -> tuple[str, list[tuple[int, int]]] | None:
-    """The layer with each match decoded, and for each of its characters the span in the original text."""
-    parts, spans, at, changed = [], [], 0, False
-    whole = lambda a, b: (a, b) if places is None else (places[a][0], places[b - 1][1])
+class Layer:
+    """A text and where its stretches come from in the layer that it was found in, ``up``; None for a text itself.
+
+    ``at`` are the stretches' first characters, ``to`` what each comes from: (start, end, whether character by character).
+    """
+
+    __slots__ = ("text", "up", "at", "to", "depth")
+
+    def __init__(self, text: str, up: Layer | None = None, at: list[int] | None = None, to: list[tuple[int, int, bool]] | None = None):
+        self.text, self.up, self.at, self.to, self.depth = text, up, at, to, up.depth + 1 if up else 0
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """Where the characters from a to b come from in the original text."""
+        layer = self
+        while layer.up:
+            i, j = bisect_right(layer.at, a) - 1, bisect_right(layer.at, b - 1) - 1
+            a = layer.to[i][0] + (a - layer.at[i] if layer.to[i][2] else 0)
+            b = layer.to[j][0] + b - layer.at[j] if layer.to[j][2] else layer.to[j][1]
+            layer = layer.up
+        return a, b
+
+
+def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
+    """The layer with each match decoded; None if that changes nothing."""
+    text, parts, at, to = layer.text, [], [], []
+    size = last = 0
+    changed = False
     for m in pattern.finditer(text):
         got = decode(m)
         plain = "".join(c for c, _, _ in got)
         changed |= plain != m[0]
-        parts += [text[at : m.start()], plain]
-        spans += [whole(i, i + 1) for i in range(at, m.start())]
-        spans += [whole(m.start() + a, m.start() + b) for _, a, b in got]
-        at = m.end()
+        if m.start() > last:
+            at.append(size)
+            to.append((last, m.start(), True))
+            size += m.start() - last
+        for c, x, y in got:
+            at.append(size)
+            to.append((m.start() + x, m.start() + y, False))
+            size += len(c)
+        parts += [text[last : m.start()], plain]
+        last = m.end()
     if not changed:
         return None
-    return "".join(parts) + text[at:], spans + [whole(i, i + 1) for i in range(at, len(text))]
+    at.append(size)
+    to.append((last, len(text), True))
+    return Layer("".join(parts) + text[last:], layer, at, to)
 
 
 def _opener(data: bytes, at: int):
@@ -215,15 +248,17 @@ def _joined(text: str):
                 yield lines[a][0], m.end() if b == len(lines) else lines[b - 1][1], body
 
 
-def _runs(text: str, most: int) -> tuple[list[tuple[int, int, str]], int]:
-    """(start, end, decoded text) of what base64 runs hold, plain or compressed; how many streams were too large."""
+def _runs(layer: Layer, most: int) -> tuple[list[Layer], int]:
+    """The layers that base64 runs hold, plain or compressed; how many streams were too large."""
     out, large = [], 0
-    for start, end, run in _joined(text):
+    for start, end, run in _joined(layer.text):
         body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]  # one character alone holds no byte
-        texts, more = _opened(base64.b64decode(body + "=" * (-len(body) % 4)), most)
-        large += more
-        out += [(start, end, x) for x in texts]
+        for shift in range(4):
+            left = body[shift:]
+            left = left[: len(left) - (len(left) % 4 == 1)]  # one character alone holds no byte
+            texts, more = _opened(base64.b64decode(left + "=" * (-len(left) % 4)), most)
+            large += more
+            out += [Layer(x, layer, [0], [(start, end, False)]) for x in texts if x]
     return out, large
 
 
@@ -231,31 +266,28 @@ def scan(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, int]], li
     """Open secrets; all secrets as (start, kind, end, depth); layers left folded as they would hold over ``most`` bytes."""
     base = sorted(set(detect(text)))
     spans = {x: 0 for x in base}
-    work: list[tuple[str, list[tuple[int, int]] | None, int]] = [(text, None, 0)]
+    work = [Layer(text)]
     seen: set[bytes] = set()
     folded = 0
     while work:
-        layer, places, depth = work.pop()
-        if depth:
-            for a, kind, b in detect(layer):
-                spans.setdefault((places[a][0], kind, places[b - 1][1]), depth)
-        inner = []
-        if "%" in layer:
-            inner.append(_replaced(layer, places, _PERCENT, _percents))
-        if "\\" in layer or "&#" in layer:
-            inner.append(_replaced(layer, places, _ESCAPE, _surrogates))
-        runs, large = _runs(layer, most)
+        layer = work.pop()
+        if layer.depth:
+            for a, kind, b in detect(layer.text):
+                start, end = layer.span(a, b)
+                spans.setdefault((start, kind, end), layer.depth)
+        inner, large = _runs(layer, most)
         folded += large
-        for a, b, plain in runs:
-            origin = (a, b) if places is None else (places[a][0], places[b - 1][1])
-            inner.append((plain, [origin] * len(plain)))
+        if "%" in layer.text:
+            inner.append(_replaced(layer, _PERCENT, _percents))
+        if "\\" in layer.text or "&#" in layer.text:
+            inner.append(_replaced(layer, _ESCAPE, _surrogates))
         for found in inner:
-            if found is None or not found[0]:
+            if found is None or not found.text:
                 continue
-            key = hashlib.blake2b(f"{found[1][0]}{found[1][-1]}{found[0]}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            key = hashlib.blake2b(f"{found.span(0, len(found.text))}{found.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if key not in seen:
                 seen.add(key)
-                work.append((*found, depth + 1))
+                work.append(found)
     return base, sorted((a, k, b, d) for (a, k, b), d in spans.items()), folded
 
 
