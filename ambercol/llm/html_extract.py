@@ -33,7 +33,9 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPES = frozenset("ul ol dl table html body div article section main aside nav header footer form blockquote td th".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|/?\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|data-label|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.IGNORECASE)
+#: A name and a value, quoted or bare, so that what stands in quotes or within another name is no attribute of its own.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_READ = frozenset("class id role data-label hidden aria-hidden".split())
 _NAME = re.compile(r"[a-z]+")
 
 # Words in class and id names, and what they tell of an element.
@@ -58,10 +60,10 @@ _GROUP = {t: g for g, tags in GROUPS.items() for t in tags.split()}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "hint", "label", "text", "chars", "linked", "words", "stops", "features")
+    __slots__ = ("tag", "parent", "hint", "label", "text", "unseen", "chars", "linked", "words", "stops", "features")
 
-    def __init__(self, tag: str, parent: int, hint: str = "none", label: str | None = None, text: str = ""):
-        self.tag, self.parent, self.hint, self.label, self.text = tag, parent, hint, label, text
+    def __init__(self, tag: str, parent: int, hint: str = "none", label: str | None = None, text: str = "", unseen: bool = False):
+        self.tag, self.parent, self.hint, self.label, self.text, self.unseen = tag, parent, hint, label, text, unseen or tag in HIDDEN
         self.chars = self.linked = self.words = self.stops = 0
         self.features: tuple[str, ...] = ()
 
@@ -69,7 +71,10 @@ class Node:
 def _hint(attributes: str) -> tuple[str, str | None, bool]:
     hints, label, hidden = [], None, False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        name = m[1].lower()
+        if name not in _READ:
+            continue
+        value = (m[2] or "").strip("\"'").lower()
         if name == "data-label":
             label = value
         elif name in ("class", "id", "role"):
@@ -129,7 +134,7 @@ def parse(page: str) -> list[Node]:
         if tag in CLOSED_BY:
             close(CLOSED_BY[tag], frozenset({"ul", "ol", "dl", "table"}))
         hint, label, hidden = _hint(m[3]) if m[3] else ("none", None, False)
-        nodes.append(Node("hidden" if hidden else tag, stack[-1], hint, label))
+        nodes.append(Node(tag, stack[-1], hint, label, unseen=hidden))
         if tag not in VOID and not m[3].endswith("/"):
             depths.setdefault(nodes[-1].tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
@@ -157,6 +162,9 @@ def observe(nodes: list[Node]) -> None:
 
 
 def group(n: Node) -> str:
+    """The kind of element that selects a node's potentials; what is never shown is a kind that tells its parent nothing."""
+    if n.unseen:
+        return "hidden"
     return "text" if n.tag == "#" else _GROUP.get(n.tag, "inline" if n.tag in INLINE else "box")
 
 
@@ -224,6 +232,7 @@ def train(pages: Iterable[str], smoothing: float = 0.5) -> Model:
                 node[kind, f][labels[k]] += 1
     log = math.log
     edges = {g: [[log(x / sum(row)) for x in row] for row in rows] for g, rows in edge.items()}
+    edges["hidden"] = [[log(0.5)] * 2] * 2
     return Model((0.0, log(0.01)), edges, {(g, f): tuple(log(c / t) for c, t in zip(n, total[g])) for (g, f), n in node.items()})
 
 
@@ -307,7 +316,7 @@ def extract(page: str, model: Model | None = None) -> str:
     now, parts = -1, []
     for k, n in enumerate(nodes):
         if k:
-            shown[k] = shown[n.parent] and n.tag != "hidden" and n.tag not in HIDDEN
+            shown[k] = shown[n.parent] and not n.unseen
             block[k] = block[n.parent] if n.tag == "#" or n.tag in INLINE else k
         if n.tag == "#":
             if block[k] != now:

@@ -16,6 +16,8 @@ import zlib
 
 import pytest
 import zstandard
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from ambercol.llm import html_extract, license_scan, secret_scan
 
@@ -112,9 +114,33 @@ def test_a_longer_license_name_suppresses_what_lies_within():
     assert len(license_scan.rules()) > 200
 
 
-def test_each_rule_is_gated_by_a_keyword_of_its_matches():
-    for rule in license_scan.rules():
-        assert all(rule.gate)
+@pytest.mark.filterwarnings("ignore")
+def test_a_text_made_from_each_rule_is_found():
+    made = {}
+
+    @settings(max_examples=4, deadline=None, database=None, derandomize=True, suppress_health_check=list(HealthCheck))
+    @given(st.data())
+    def draw(data):
+        for i, rule in enumerate(license_scan.rules()):
+            made.setdefault(i, set()).add(data.draw(st.from_regex(rule.source, fullmatch=True, alphabet="abcdefghijklmnopqrstuvwxyz0123456789 ")))
+
+    draw()
+    assert len(license_scan.rules()) > 200
+    for i, rule in enumerate(license_scan.rules()):
+        assert rule.gate and made[i]
+        for text in made[i]:
+            text = " ".join(text.split())
+            line = f" some words {text} ".encode()
+            if rule.pattern.search(line):
+                assert any(r is rule for r in license_scan.gated(line)), (rule.source, text)
+                assert license_scan.scan(f"Some words: {text}.")[1]
+    assert {x[2] for x in license_scan.scan("see www.wtfpl.net for it")[1]} == {"wtfpl"}
+
+
+def test_words_are_counted_right_on_long_texts():
+    text = "word, " * 50_000 + "under the MIT license. " * 3000
+    n, found = license_scan.scan(text)
+    assert n == 62_000 and [x[0] for x in found if x[4]] == [50_000 + 4 * i for i in range(3000)]
 
 
 def test_pages(spark):
@@ -178,6 +204,13 @@ def test_hidden_parts_and_entities():
     assert html_extract.extract(page) == "Title\n\nOne & two three. Four, five A.\n\nSecond one, with words."
 
 
+@pytest.mark.parametrize("attribute", ['title="it was hidden from view"', 'data-hidden="false"', "data-x='class=sidebar hidden'", 'aria-hidden="false"', "title=hidden-gem", 'data-id="comments" x-role=navigation'])
+def test_what_only_looks_like_an_attribute_hides_nothing(attribute):
+    body = "One two three, four five six. Seven eight, nine ten."
+    assert html_extract.extract(f"<nav><a href=x>menu</a></nav><article {attribute}><h1>Title</h1><p {attribute}>{body}</p></article>") == f"Title\n\n{body}"
+    assert html_extract.extract(f"<article><h1>Title</h1><p hidden>{body}</p><p HIDDEN='' {attribute}>{body}</p><p aria-hidden = true>{body}</p><p>{body}</p></article>") == f"Title\n\n{body}"
+
+
 def test_edge_rows(edge):
     n = edge.count()
     assert secret_scan.secret_digests(edge).count() == license_scan.license_digests(edge).count() == n
@@ -228,6 +261,7 @@ _NOISE = bytes(random.Random(4).randrange(256) for _ in range(300))
     [
         base64.b64encode(SECRET.encode("utf-16-le")).decode(), base64.b64encode(SECRET.encode("utf-16-be")).decode(), base64.b64encode(_tar(".env", SECRET.encode())).decode(), base64.b64encode(b"\xff\x01" + SECRET.encode() + b"\xfe").decode(),
         _lines(zlib.compress(_NOISE + SECRET.encode())), "note\n" + _lines(gzip.compress(_NOISE + SECRET.encode()), 64, "\r\n  "), _lines(b"x" * 50 + SECRET.encode() + b"y" * 90, 70),
+        *("path/to/files"[:n] + base64.b64encode(SECRET.encode()).decode() for n in (1, 2, 3, 5, 13)), "x/" + base64.b64encode(gzip.compress(SECRET.encode())).decode(),
     ],
 )
 def test_bytes_that_are_no_text_and_wrapped_runs_are_scanned(inner):
