@@ -103,12 +103,13 @@ def _feature_rows(batches):
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> dict[str, Model]:
     """Both heads from at most ``most_rows`` labelled documents, those whose ids hash lowest; their features reach the driver.
 
-    Labels of documents that are absent, null labels and labels without a class do not count. Without labelled documents of
-    both classes a head is constant.
+    Labels of documents that are absent, null labels and labels without a class do not count. Of rows that repeat a labelled id one
+    text is taken, that of the least hash. Without labelled documents of both classes a head is constant.
     """
     picked = labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).dropDuplicates([id_col])
     wanted = picked.join(docs.select(id_col).distinct(), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(wanted.select(id_col, *HEADS)), id_col).select("text", *HEADS)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(wanted.select(id_col, *HEADS)), id_col)
+    rows = rows.groupBy(id_col, *HEADS).agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")).select("text", *HEADS)
     got = rows.mapInArrow(_feature_rows, "slots array<int>, shape array<double>, quality int, toxic int").collect()
     out = {}
     for head in HEADS:
@@ -122,8 +123,13 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, id_col: str
 
 
 def evidence(docs: DataFrame, models: dict[str, Model], id_col: str, text_col: str, site_col: str, path_col: str) -> DataFrame:
-    """doc_id, site, path and each head's log odds. A null or empty text is judged by its shape, that of no words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"))
+    """doc_id, site, path and each head's log odds, for each row.
+
+    A null or empty text is judged by its shape, that of no words. Null sites and paths are '', others follow a '=', so that an
+    empty name is another one. An empty table gives no rows.
+    """
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), named(site_col).alias("site"), named(path_col).alias("path"), F.col(text_col).alias("text"))
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("site", pa.string()), ("path", pa.string()), *((h, pa.float64()) for h in HEADS)])
