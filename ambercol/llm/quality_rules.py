@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import bounded, unused, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\f\r"
@@ -52,14 +52,17 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row per line with a word: doc_id, host, text_hash, pos, line (hash of the normalised line), words."""
+    """A row per line with a word: doc_id, host, text_hash, pos, line (hash of the normalised line), words; none for null or empty texts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "raw"))
     rows = rows.filter(F.btrim("raw", F.lit(_BLANK)) != "")
     return rows.select("doc_id", "host", "text_hash", "pos", F.xxhash64(normalised(F.col("raw"))).alias("line"), F.size(words(F.col("raw"))).cast("long").alias("words"))
 
 
 def frequent_lines(docs: DataFrame, share: float = 0.03, least: int = 20, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """host, line, n_docs of lines above the host's limit: in over ``share`` of its distinct texts, and in ``least`` or more."""
+    """host, line, n_docs of lines above the host's limit: in over ``share`` of its distinct texts, and in ``least`` or more.
+
+    A null host is a host of its own; null and empty texts have no lines but count as one text; an empty table gives no rows.
+    """
     rows = line_rows(docs, id_col, text_col, host_col)
     counts = rows.select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least)
     hosts = docs.select(F.col(host_col).alias("h"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).distinct().groupBy("h").agg(F.count("*").alias("n"))
@@ -90,26 +93,38 @@ def quality(docs: DataFrame, share: float = 0.03, least: int = 20, depleted: flo
     return _judged(docs, share, least, depleted, id_col, text_col, host_col).drop("gone")
 
 
+def _same(docs: DataFrame, found: DataFrame, names: list[str], columns: list[str]) -> Column:
+    """Whether a document is that of a row of ``found``, whose columns ``names`` hold id, host and the text's hash."""
+    id_col, host_col, text_col = columns
+    own = (docs[id_col], docs[host_col], F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    return own[0].eqNullSafe(found[names[0]]) & own[1].eqNullSafe(found[names[1]]) & (own[2] == found[names[2]])
+
+
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, all columns as they are."""
-    bad = quality(docs, id_col=id_col, text_col=text_col, host_col=host_col).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).distinct()
-    bad = bounded(bad, "rejected")
-    same = docs[id_col].eqNullSafe(F.col("__id")) & docs[host_col].eqNullSafe(F.col("__host")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
-    return docs.join(bad, same, "left_anti")
+    """The documents that the rules keep, all columns as they are.
+
+    Nulls, repeated rows and empty tables are as in ``quality``; columns of any other name are handed on.
+    """
+    names = unused(docs, "id", "host", "hash")
+    bad = quality(docs, id_col=id_col, text_col=text_col, host_col=host_col).filter("not kept")
+    bad = bounded(bad.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "host", "text_hash"), names))).distinct(), "rejected")
+    return docs.join(bad, _same(docs, bad, names, [id_col, host_col, text_col]), "left_anti")
 
 
 def cleaned(docs: DataFrame, share: float = 0.03, least: int = 20, depleted: float = 0.2, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents that the rules keep, all columns, lines above their host's limit taken out of the text.
 
-    Other lines stay as they are, blank ones too. ``chars_col``, if any, follows the text.
+    Other lines stay as they are, blank ones too. ``chars_col``, if any, follows a text that changes. Nulls, repeated rows and
+    empty tables are as in ``quality``; columns of any other name are handed on.
     """
+    names = unused(docs, "id", "host", "hash", "kept", "gone")
+    kept, gone = names[3:]
     found = _judged(docs, share, least, depleted, id_col, text_col, host_col).filter("not kept or gone is not null")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"), F.col("gone").alias("__gone")).distinct()
-    found = bounded(found, "found", weight="greatest(size(__gone), 1)")
-    same = docs[id_col].eqNullSafe(F.col("__id")) & docs[host_col].eqNullSafe(F.col("__host")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
-    out = docs.join(found, same, "left").filter(F.coalesce("__kept", F.lit(True)))
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    columns = {text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest)}
+    found = found.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "host", "text_hash", "kept", "gone"), names))).distinct()
+    found = bounded(found, "found", weight=f"greatest(size(`{gone}`), 1)")
+    out = docs.join(found, _same(docs, found, names, [id_col, host_col, text_col]), "left").filter(F.coalesce(kept, F.lit(True)))
+    rest = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    columns = {text_col: F.when(F.col(gone).isNull(), docs[text_col]).otherwise(rest)}
     if chars_col and chars_col in docs.columns:
-        columns[chars_col] = F.when(F.col("__gone").isNull(), F.col(chars_col)).otherwise(F.char_length(rest).cast(docs.schema[chars_col].dataType))
+        columns[chars_col] = F.when(F.col(gone).isNull(), docs[chars_col]).otherwise(F.char_length(rest).cast(docs.schema[chars_col].dataType))
     return out.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
