@@ -2,9 +2,10 @@
 
 A shard is a file of records. A record is
 ``length (u64 LE) | masked crc32 of the length (u32 LE) | payload | masked crc32 of the payload (u32 LE) | 0x0A``
-with payload ``doc_id (i64 LE) | bytes per id (u8) | ids (u16 or u32 LE)``. A checksum is masked by rotating it right by 15 bits
-and adding 0xA282EAD8, so that a checksum over bytes that hold checksums stays strong. Shards are in ascending doc_id order, by
-file name and within a file. The index is a Parquet table with a row per record: shard, offset, length, doc_id, n_tokens.
+with payload ``doc_id (i64 LE) | bytes per id (u8) | ids (u16 or u32 LE)``; the highest bit of the u8 marks a null doc_id, written
+as 0. A checksum is masked by rotating it right by 15 bits
+and adding 0xA282EAD8, so that a checksum over bytes that hold checksums stays strong. Shards are in ascending doc_id order, null
+ids first, by file name and within a file. The index is a Parquet table with a row per record: shard, offset, length, doc_id, n_tokens.
 
 Spark's text writer, which puts its separator 0x0A after each record, writes the shards: its commit protocol keeps exactly one
 attempt of each task, on any store that Spark can write.
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lean, scratch_path, texts_of, to_batch
+from .common import bounded, lean, scratch_path, texts_of, to_batch
 from .tokens import encoder
 
+_INDEX = "shard string, offset long, length long, doc_id long, n_tokens long"
 _HEAD, _HEAD_BYTES = "<QI", 12
 _ITEM, _ITEM_BYTES = "<qB", 9
+_NO_ID = 0x80
 #: Characters of text for a shard, and so about the memory that reading one takes.
 SHARD_CHARS = 24_000_000
 
@@ -36,13 +39,19 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: np.ndarray, width: int) -> bytes:
+def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     """A record without its end byte."""
-    payload = struct.pack(_ITEM, doc_id, width) + ids.astype(f"<u{width}").tobytes()
+    payload = struct.pack(_ITEM, doc_id or 0, width | (_NO_ID if doc_id is None else 0)) + ids.astype(f"<u{width}").tobytes()
     length = struct.pack("<Q", len(payload))
     return length + struct.pack("<I", masked(length)) + payload + struct.pack("<I", masked(payload))
 
 
+def _item(data: memoryview | bytes, at: int = 0) -> tuple[int | None, int]:
+    """doc_id and bytes per id of a payload."""
+    doc_id, width = struct.unpack_from(_ITEM, data, at)
+    return (None, width & ~_NO_ID) if width & _NO_ID else (doc_id, width)
+
+
 def headers(data: memoryview, name: str = "shard") -> Iterator[tuple[int, int]]:
     """(offset, payload length) of each record; raises ValueError where a length's checksum fails or a record is cut off."""
     at, n = 0, len(data)
@@ -56,30 +65,28 @@ def headers(data: memoryview, name: str = "shard") -> Iterator[tuple[int, int]]:
         at += _HEAD_BYTES + length + 5
 
 
-def unframe(data: memoryview, at: int, length: int, name: str = "shard") -> tuple[int, np.ndarray]:
+def unframe(data: memoryview, at: int, length: int, name: str = "shard") -> tuple[int | None, np.ndarray]:
     """doc_id and ids of the record at an offset; raises ValueError where the payload's checksum fails."""
     begin = at + _HEAD_BYTES
     payload = bytes(data[begin : begin + length])
     if masked(payload) != struct.unpack_from("<I", data, begin + length)[0]:
         raise ValueError(f"read_records: bad payload at byte {at} of {name}. Fix: write the shard again.")
-    doc_id, width = struct.unpack_from(_ITEM, payload)
+    doc_id, width = _item(payload)
     return doc_id, np.frombuffer(payload, f"<u{width}", offset=_ITEM_BYTES)
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
     """Encode whole texts, append ``end_id`` and write shards to ``path/shards`` in ascending id order, the index to ``path/index``.
 
-    A null text is empty and gives the end id alone; a null id is refused, as it has no place in the order. Rows that repeat an
-    id each give a record; their order among themselves is that of their texts. An empty table gives no records. Other columns
-    are not read. Range partitioning by id orders the shards; a hot source has no bearing on it.
+    A null text is empty and gives the end id alone; rows with a null id come first. Rows that repeat an id each give a record;
+    their order among themselves is that of their texts' hashes, by which they are also dealt out, so that no id is one shard. An
+    empty table gives no records. Other columns are not read. A hot source has no bearing on the shards.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t")), F.count_if(F.col("i").isNull())).first()
-    if total[1]:
-        raise ValueError(f"write_records: {total[1]} rows have a null {id_col}. Fix: give each row an id.")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total[0] or 0) // SHARD_CHARS))
-    ordered = rows.repartitionByRange(parts, "i").sortWithinPartitions("i", "t")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_CHARS))
+    ordered = rows.repartitionByRange(parts, "i", "h").sortWithinPartitions("i", "h").select("i", "t")
 
     def encode(batches):
         e = encoder(tokenizer, 250_000)  # beside sorted texts an executor has less room
@@ -110,31 +117,32 @@ def build_index(spark: SparkSession, path: str) -> None:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 view, rows = memoryview(data.as_buffer()), []
                 for at, length in headers(view, name):
-                    doc_id, width = struct.unpack_from(_ITEM, view, at + _HEAD_BYTES)
+                    doc_id, width = _item(view, at + _HEAD_BYTES)
                     rows.append((name, at, length, doc_id, (length - _ITEM_BYTES) // width))
                 if rows:
                     yield to_batch(rows, schema)
 
-    _shards(spark, path).mapInArrow(lean(index), "shard string, offset long, length long, doc_id long, n_tokens long").write.parquet(f"{path}/index")
+    _shards(spark, path).mapInArrow(lean(index), _INDEX).write.parquet(f"{path}/index")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index with ``start``, the tokens of all records before each one.
+    """The index with ``start``, the tokens of all records before each one; no rows for an empty table.
 
     A shard's own start is a running sum over the shards, one row for each; within a shard it is one over its records.
     """
-    index = spark.read.schema("shard string, offset long, length long, doc_id long, n_tokens long").parquet(f"{path}/index")
+    index = spark.read.schema(_INDEX).parquet(f"{path}/index")
     sums = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    return index.withColumn("within", within).join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("within")).drop("before", "within")
+    return index.withColumn("within", within).join(bounded(before, "shards"), "shard").withColumn("start", F.col("before") + F.col("within")).drop("before", "within")
 
 
 def read_records(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
     """Read records back: shard, offset, doc_id, ids (little-endian unsigned 32-bit bytes), each checksum verified.
 
     ``wanted`` picks records in any order: a table with the index's columns shard and offset, whose offsets are gathered by
-    shard (a shard's offsets are bounded by its size), so that a shuffled read opens each shard that it needs once.
+    shard (a shard's offsets are bounded by its size), so that a shuffled read opens each shard that it needs once. Offsets that
+    repeat give their record again; a null doc_id is read as null.
     """
     schema = pa.schema([("shard", pa.string()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
     shards = _shards(spark, path)
@@ -160,7 +168,7 @@ def read_records(spark: SparkSession, path: str, wanted: DataFrame | None = None
 
 
 def record_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write the documents' records, read the files back, and give each record's place and checksum."""
+    """Write the documents' records, read the files back, and give each record's place and checksum; edge cases as in ``write_records``."""
     spark = docs.sparkSession
     path = scratch_path(spark, "records")
     write_records(docs, path, tokenizer)

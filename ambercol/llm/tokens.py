@@ -2,7 +2,9 @@
 
 A byte-level BPE splits a text before each space or newline that follows a character which is no white space, and after the
 letters of a word that a comma or full stop follows, whatever lies around them. So the piece between two such places has the same
-ids in every text, and the library encodes each new piece once. Texts with longer runs of white space are encoded whole.
+ids in every text, and the library encodes each new piece once. Arrow cuts the texts and numbers their distinct pieces, and NumPy
+strings the pieces' ids together, so that Python handles each distinct piece of a batch, not each word. Texts with longer runs of
+white space, and texts that hold an added token of the vocabulary, are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,10 +13,14 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space that the tokenizer does not always cut before its last character, as it is assumed here.
 _UNSAFE = re.compile(r"\s |[^\S\n]\n|\n\n(?:\s|\Z)")
 _LONGEST = 64
+#: Characters of the texts that are cut into pieces at once.
+_AT_ONCE = 4_000_000
 
 
 class Encoder:
@@ -29,20 +35,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # a piece is encoded once, so the library's own memory of words is of no use
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)
         self.library.no_padding()
         self.library.no_truncation()
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.leads = np.zeros(self.size, bool)  # ids whose bytes begin with a space
-        byte_level = "ByteLevel" in str(self.library.pre_tokenizer)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        byte_level = "ByteLevel" in str(self.library.pre_tokenizer) and self.library.normalizer is None
         for piece, i in vocabulary.items():
             self.leads[i] = byte_level and piece.startswith("Ġ")
         self.by_piece = False
         self.remembered = remembered
         self.old: dict[str, bytes] = {}
         self.marks, self.fixed = {}, {}
-        self.odd = {"", "\n"}  # pieces with white space at their end: their texts are looked at more closely
         if byte_level:
             newline, space, *marks = self._whole(["\n", " ", ",", "."])
             self.newline = np.frombuffer(newline, "<u4")
@@ -50,6 +58,7 @@ class Encoder:
             self.fixed = {"": space, "\n": newline}  # a space that ends a text; an empty line
             self.by_piece = len(newline) == 4
         self.young: dict[str, bytes] = dict(self.fixed)
+        self.odd = set(self.fixed)  # pieces with white space at their end: their texts are looked at more closely
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,38 +78,73 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         if self.by_piece:
-            self._by_piece(texts, out)
+            plain = [i for i, t in enumerate(texts) if not t[:1].isspace() and not any(x in t for x in self.added)]
+            while plain:
+                size = np.cumsum([len(texts[i]) for i in plain])
+                n = max(1, int(np.searchsorted(size, _AT_ONCE, "right")))
+                for i, x in zip(plain[:n], self._by_piece([texts[i] for i in plain[:n]])):
+                    out[i] = x
+                plain = plain[n:]
         rest = [i for i, x in enumerate(out) if x is None]
         if rest:
             for i, x in zip(rest, self._whole([texts[i] for i in rest])):
                 out[i] = x
         return out
 
-    def _by_piece(self, texts: list[str], out: list[bytes | None]) -> None:
+    def _by_piece(self, texts: list[str]) -> list[bytes | None]:
         """A piece is keyed by what follows its space; a line's first, and for that a text's first, by its newline and what follows."""
-        split = [None if t[:1].isspace() else f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
-        old = self.old
-        new = set().union(*filter(None, split)).difference(self.young)
-        self.odd.update(p for p in new if p[-1:].isspace())
-        for i, s in enumerate(split):
-            if s and not self.odd.isdisjoint(s) and _UNSAFE.search(texts[i]):
-                split[i] = None
-        young = self.young
-        young.update({p: old[p] for p in new if p in old})
-        new = new.difference(young)
-        stems = {p: p[:-1] for p in new if p[-1] in self.marks and p[-2:-1].isalpha()}
-        fresh = new.difference(stems).union(stems.values()).difference(young)
-        lines = [p for p in fresh if p[0] == "\n"]
-        spaced = list(fresh.difference(lines))
-        self._learn(spaced, " " + " ".join(spaced), self.leads.__getitem__)
-        self._learn(lines, "".join(lines), self.newline.__eq__)
-        young.update({p: young[stem] + self.marks[p[-1]] for p, stem in stems.items()})
-        get = young.__getitem__
-        for i, s in enumerate(split):
-            if s is not None:
-                out[i] = b"".join(map(get, s))[4:]
-        if len(young) > self.remembered:
-            self.old, self.young, self.odd = {k: v for k, v in young.items() if len(k) < _LONGEST}, dict(self.fixed), {"", "\n"}
+        cut = pc.split_pattern(pa.array([f"\n{t}".replace("\n", " \n")[1:] for t in texts], pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        # no piece has a space, so this is the list of them, made faster
+        pieces = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
+        which, bounds = coded.indices.to_numpy(), cut.offsets.to_numpy()
+        self._know(pieces)
+        ids = list(map(self.young.__getitem__, pieces))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        # the ids of all pieces in their order: the place within ``flat`` of each
+        size = lengths[which]
+        ends = np.cumsum(size)
+        kind = np.int32 if max(ends[-1], len(flat)) < 1 << 30 else np.int64
+        first = ((np.cumsum(lengths) - lengths)[which] - ends + size).astype(kind)
+        raw, at = flat[np.arange(ends[-1], dtype=kind) + np.repeat(first, size)].tobytes(), (np.concatenate([[0], ends])[bounds] * 4).tolist()
+        close = np.zeros(len(texts), bool)
+        if odd := [k for k, p in enumerate(pieces) if p in self.odd]:
+            flags = np.zeros(len(pieces), bool)
+            flags[odd] = True
+            close = np.logical_or.reduceat(flags[which], bounds[:-1])
+        out = [None if close[k] and _UNSAFE.search(t) else raw[at[k] + 4 : at[k + 1]] for k, t in enumerate(texts)]
+        if len(self.young) > self.remembered:
+            self.old, self.young = {k: v for k, v in self.young.items() if len(k) < _LONGEST}, dict(self.fixed)
+            self.odd = {p for p in self.odd if p in self.old or p in self.fixed}
+        return out
+
+    def _know(self, pieces: list[str]) -> None:
+        """See that all pieces are in ``young``; what the library has not seen it encodes."""
+        young, old = self.young, self.old
+        spaced, lines, marked = {}, {}, []
+        for p in pieces:
+            if p in young:
+                continue
+            if (known := old.get(p)) is not None:
+                young[p] = known
+                continue
+            stem = p
+            if p[-1] in self.marks and p[-2:-1].isalpha():
+                stem = p[:-1]
+                marked.append(p)
+                if stem in young:
+                    continue
+                if (known := old.get(stem)) is not None:
+                    young[stem] = known
+                    continue
+            elif p[-1].isspace():
+                self.odd.add(p)
+            (lines if stem[0] == "\n" else spaced)[stem] = None
+        self._learn(list(spaced), " " + " ".join(spaced), self.leads.__getitem__)
+        self._learn(list(lines), "".join(lines), self.newline.__eq__)
+        for p in marked:
+            young[p] = young[p[:-1]] + self.marks[p[-1]]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}

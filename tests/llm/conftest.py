@@ -26,7 +26,7 @@ def edge(spark):
         (None, "no id here at all but words enough to count", "en", "s1", 3),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = {c: "1" for c in ("id", "h", "own", "pos", "len", "words", "line", "site", "path", "n", "keys", "sketch", "value", "ids", "part", "sequence", "offset", "n_words", "spans", "start", "shard", "kept", "quality", "w", "l", "t", "host", "gone", "items")}
+    clash = {c: "1" for c in ("id", "h", "own", "pos", "len", "words", "line", "site", "path", "n", "keys", "sketch", "value", "ids", "part", "sequence", "offset", "n_words", "spans", "start", "shard", "kept", "quality", "w", "l", "t", "host", "gone", "items", "__id", "__hash", "__host", "__gone", "__kept", "a", "b", "text_hash", "component", "class", "z", "d", "x", "hash")}
     return df.selectExpr("*", *(f"{v} AS `{k}`" for k, v in clash.items()))
 
 

@@ -49,7 +49,7 @@ def test_decontamination_with_short_items_and_overlaps(spark):
     texts = ["Alpha, beta gamma delta! one two three four five six seven eight nine ten eleven twelve", "zero one two three four five six seven eight nine TEN", "é é ß", "É é ß x", "", None, "alpha beta", "alpha beta gamma " * 30]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (0, "other alpha beta gamma")], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for parts in (2_000_000, 3):
+    for parts in (100_000_000, 2500):
         got = decontaminate.contamination(docs, bench, most_broadcast=parts).collect()
         assert len(got) == len(texts) + 2
         for r in got:
@@ -68,6 +68,20 @@ def test_decontamination_removes_all_that_is_hit(spark, small):
         assert (r.doc_id in kept) == (hits(r.text, items)[1] == 0)
 
 
+def test_windows_of_every_length_are_found_wherever_they_begin(spark):
+    r = random.Random(3)
+    items = [(k, " ".join(f"I{k}x{j}" for j in range(k))) for k in range(1, 14)]
+    texts = []
+    for k, body in items:
+        for at in range(12):
+            w = body.split()
+            texts.append(" ".join([*("f" + str(r.randrange(10**6)) for _ in range(at)), *w[: 1 + r.randrange(len(w))], "stop", *w, *(["end"] * r.randrange(2))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chosen in (items, items[9:]):
+        for x in decontaminate.contamination(docs, spark.createDataFrame(chosen, "item_id long, text string")).collect():
+            assert (x.n_words, x.n_hit, list(x["items"])) == hits(texts[x.doc_id], chosen)
+
+
 def repeats(words, n=8):
     seen: dict = {}
     for p in range(len(words) - n + 1):
@@ -131,20 +145,25 @@ def test_line_spread_near_the_threshold_is_counted(spark):
     assert stage.filter("n_chars != char_length(text)").count() == 0
 
 
-def test_footers_and_blocks_that_spread_over_sites_go_and_copies_stay(spark):
+def test_footers_blocks_and_banners_that_spread_over_sites_go_and_copies_stay(spark):
     r = random.Random(8)
     own = lambda n=60: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
     block = ["first of a block", "second of a block", "third of a block"]
-    rows = [(i, "\n".join([own(), *block, own(), "a footer"]), f"s{i % 12}") for i in range(36)]
-    # many exact copies of one of the texts do not save its lines
-    rows += [(100 + i, rows[0][1], "s0") for i in range(400)]
+    rows = [(i, "\n".join(["A banner", own(), *block, own(), "a  Footer"]), f"s{i % 12}") for i in range(36)]
+    # many exact copies of one of the texts, on all sites, neither save its lines nor lose those of their own
+    rows += [(100 + i, rows[0][1], f"s{i % 12}") for i in range(2000)]
+    rows += [(3000 + i, "\n".join([own(), "a line of one site"]), "s3") for i in range(36)]
+    rows += [(4000, None, "s1"), (4001, "", None), (4002, "A banner\n\n", None), (4002, "A banner\n\n", None)]
     article = [own(20) for _ in range(40)]
-    rows += [(1000 + i, "\n".join([*article[:i], own(5), *article[i:]]), f"s{i % 12}") for i in range(36)]
-    rows += [(2000 + i, "\n".join([own(), "a line of one site"]), "s3") for i in range(36)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    left = {x.doc_id: x.text.split("\n") for x in line_dedup.without_boilerplate(docs).collect()}
-    for i, text, _ in rows:
-        assert left[i] == [x for x in text.split("\n") if x != "a footer" and x not in block]
+    copies = [(5000 + i, "\n".join([*article[:i], own(5), *article[i:]]), f"s{i % 12}") for i in range(36)]
+    bad = {"A banner", "a  Footer", *block}
+    want = {i: None if x is None else "\n".join(y for y in x.split("\n") if y not in bad) for i, x, _ in rows + copies}
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(x.text == want[x.doc_id] for x in got)
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string, source string").selectExpr("*", "1 AS gone", "2 AS t", "3 AS __id", "4 AS line")
+    stage = line_dedup.without_boilerplate(docs)
+    assert stage.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in stage.collect()), key=str) == sorted(((i, want[i]) for i, _, _ in rows + copies), key=str)
 
 
 def brute(rows, k, percent=80):
@@ -275,7 +294,6 @@ def encoded(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.TOKENIZER)
-    t.encode_special_tokens = True
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in rows}
 
 
@@ -349,8 +367,19 @@ def test_records_are_read_by_index_and_damage_is_seen(spark, small, tmp_path):
     data[2] ^= 1
     with pytest.raises(ValueError, match="bad length"):
         list(records.headers(memoryview(data)))
-    with pytest.raises(ValueError, match="null doc_id"):
-        records.write_records(spark.createDataFrame([(None, "x")], "doc_id long, text string"), f"{path}2", queries.TOKENIZER)
+
+
+def test_records_with_null_and_repeated_ids_and_added_tokens(spark):
+    rows = [(5, "a <|endoftext|> b"), (None, "no id"), (None, None), (-3, "<|endoftext|><|endoftext|>"), (5, "other"), (5, "other"), (4, "")]
+    got = records.record_digests(spark.createDataFrame(rows, "doc_id long, text string"), queries.TOKENIZER).collect()
+    want = [(i, encoded([(0, x)])[0]) for i, x in rows]
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(((i, len(x), crc(x)) for i, x in want), key=str)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, -3, 4, 5, 5, 5]
+    assert len(encoded([(0, "a <|endoftext|> b")])[0]) == 5
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -363,6 +392,59 @@ def test_classifier_on_held_out_labels(spark):
     assert r[0] > 0.98 and r[1] > 0.96
 
 
+def posterior(rows, models):
+    """Posteriors by plain NumPy from (id, text, site, path): id, quality, toxicity, site_quality, path_quality."""
+    logit = lambda p: np.log(p / (1 - p))
+    out = {i: [] for i, *_ in rows}
+    site, path = np.array([repr(r[2]) for r in rows]), np.array([repr((r[2], r[3])) for r in rows])
+
+    def strength(p, n, parent):
+        n, p, parent = map(np.array, (n, p, parent))
+        if len(n) < 2:
+            return 100.0
+        excess = max((n * (p - parent) ** 2).sum() - (parent * (1 - parent)).sum(), 0) / n.sum()
+        return np.clip((n * parent * (1 - parent)).sum() / n.sum() / excess - 1 if excess > 0 else 1e4, 1, 1e4)
+
+    for head in quality_model.HEADS:
+        odds = np.array([models[head].log_odds(*quality_model.features(r[1] or "")) for r in rows])
+        p = 1 / (1 + np.exp(-odds))
+        rate = min(max(p.mean(), 1e-4), 1 - 1e-4)
+        sites, paths = sorted(set(site)), sorted(set(path))
+        k = strength([p[site == s].mean() for s in sites], [(site == s).sum() for s in sites], [rate] * len(sites))
+        of_site = {s: (p[site == s].sum() + k * rate) / ((site == s).sum() + k) for s in sites}
+        above = {q: of_site[site[path == q][0]] for q in paths}
+        j = strength([p[path == q].mean() for q in paths], [(path == q).sum() for q in paths], [above[q] for q in paths])
+        for r, x, o, s, q in zip(rows, p, odds, site, path):
+            n, total = (path == q).sum(), p[path == q].sum()
+            own = np.clip((total - x + j * above[q]) / (n - 1 + j), 1e-4, 1 - 1e-4)
+            out[r[0]] += [1 / (1 + np.exp(-(o + logit(own) - logit(models[head].rate))))]
+            if head == "quality":
+                rates = of_site[s], (total + j * above[q]) / (n + j)
+                out[r[0]] += rates
+    return {i: (x[0], x[3], x[1], x[2]) for i, x in out.items()}
+
+
+def test_posteriors_are_those_of_plain_numpy(spark, small):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    models = quality_model.train(small, labels)
+    odd = spark.createDataFrame([(10**6, None, None, None, 0), (10**6 + 1, "", "", "", 0), (10**6 + 2, "some words", None, "", 0), (10**6 + 3, "# $ %", "xx", None, 0), (10**6 + 4, "# $ %", "xx", "lone", 0)], small.schema)
+    docs = small.unionByName(odd)
+    want = posterior([(r.doc_id, r.text, r.source, r.lang) for r in docs.collect()], models)
+    got = {r.doc_id: r for r in quality_model.classify(docs, labels, models=models).collect()}
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert (r.quality, r.toxicity, r.site_quality, r.path_quality) == pytest.approx(want[i], rel=1e-5, abs=1e-7)
+        assert r.kept == (r.quality >= 0.5 and r.toxicity < 0.5)
+
+
+def test_one_text_of_a_repeated_labelled_id_is_learnt(spark, small):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    one = labels.limit(1).join(small, "doc_id").select(*small.columns)
+    many = small.unionByName(one.join(spark.range(50).select(F.col("id").alias("n")), how="cross").drop("n"))
+    a, b = quality_model.train(small, labels), quality_model.train(many, labels)
+    assert all(np.array_equal(a[h].weights, b[h].weights) for h in quality_model.HEADS)
+
+
 def test_sparse_sites_are_drawn_to_the_global_rate(spark, small):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     lone = spark.createDataFrame([(10**6, "short # $ % & | < >", "xx", "lone", 3)], small.schema)
@@ -374,16 +456,15 @@ def test_sparse_sites_are_drawn_to_the_global_rate(spark, small):
 
 def test_edge_rows(spark, edge, small):
     bench, labels = spark.read.parquet(f"{DATA}/benchmark.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    n, none, with_id = edge.count(), edge.limit(0), edge.filter("doc_id is not null")
+    n, none = edge.count(), edge.limit(0)
     for f in (lambda d: decontaminate.contamination_digests(d, bench), quality_rules.quality, line_dedup.line_digests, near_dedup.near_digests, lambda d: quality_model.classify(d, labels)):
         assert f(edge).count() == n
         assert f(none).count() == 0
     assert decontaminate.contamination_digests(edge, bench.limit(0)).filter("contaminated").count() == 0
-    ids = {r.doc_id: len(x) for r, x in ((r, encoded([(0, r.text)])[0]) for r in with_id.dropDuplicates(["doc_id"]).collect())}
-    total = sum(ids[r.doc_id] for r in with_id.collect())
-    assert sum(r.n_tokens for r in records.record_digests(with_id, queries.TOKENIZER).collect()) == total
+    total = sum(len(encoded([(0, r.text)])[0]) for r in edge.collect())
+    assert sum(r.n_tokens for r in records.record_digests(edge, queries.TOKENIZER).collect()) == total
     assert records.record_digests(none, queries.TOKENIZER).count() == 0
-    assert packing.pack(edge, queries.TOKENIZER).agg(F.sum("length")).first()[0] > total
+    assert packing.pack(edge, queries.TOKENIZER).agg(F.sum("length")).first()[0] == total
     assert packing.pack(none, queries.TOKENIZER).count() == 0
     near = {r.doc_id: r for r in near_dedup.near_digests(edge).collect()}
     assert near[11].component_id == 10 and near[9].component_id == 8 and near[1].n_shingles == 0 and near[5].component_id == 5
