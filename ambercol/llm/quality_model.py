@@ -61,14 +61,18 @@ class Model:
         return float(self.weights[slots].sum() + ((shape - self.mean) / self.scale) @ self.shape + self.bias)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], support: float = 0.01, lift: float = 6.0, ridge: float = 2e-5) -> Model:
-    """A logistic head. Words enter if they are in ``support`` of either class's documents and ``lift`` times rarer in the other."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], support: float = 0.01, lift: float = 6.0, ridge: float = 2e-5, least: int = 5) -> Model:
+    """A logistic head.
+
+    Words enter if they are in ``support`` of either class's documents, ``least`` of them at the fewest, and ``lift`` times rarer
+    in the other.
+    """
     y = np.array([r[2] for r in rows], float)
     count = np.zeros((2, 1 << BITS))
     for slots, _, label in rows:
         count[label, slots] += 1
     share = count / np.maximum(1, np.array([[np.sum(y == 0)], [np.sum(y == 1)]]))
-    used = np.flatnonzero((share.max(0) >= support) & (share.max(0) >= lift * (share.min(0) + 1e-3)))
+    used = np.flatnonzero((share.max(0) >= support) & (count.max(0) >= least) & (share.max(0) >= lift * (share.min(0) + 1e-3)))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     shapes = np.array([r[1] for r in rows])
