@@ -1,120 +1,127 @@
 """Line dedup by distinct-site spread.
 
-A HyperLogLog sketch of the sites that hold a line is kept for each line hash and merged by aggregation. Lines whose estimate is
-within ``band`` of the threshold, and only those, get an exact count of distinct sites. Copies of a document spread their lines
-over sites too; they are for near-dedup to judge. Two rules tell them from boilerplate:
-
-* ``boilerplate``, that of the query's SQL: of all places where the line stands, copies included, at least ``context_share`` have
-  a next line of their own.
-* ``spread``, that of the pipeline: documents that near-dedup links are one class, which holds a line once and on one site. What
-  surrounds a line does not matter, so footers and all lines of a block go; and no share is diluted by copies or by size.
+A HyperLogLog sketch of the sites that hold a line is kept for each line hash and merged by aggregation, straight from the lines.
+Lines whose estimate is within ``band`` of the threshold, and only those, get an exact count of distinct sites. Lines on enough
+sites are boilerplate and go, whatever stands around them: menus, banners, footers, all lines of a block.
+
+Copies of a document spread its lines over sites too. So a text counts on one site, drawn by a hash of text and site, however
+many sites hold it (the query's rule, which SQL says too). With ``near``, as in the pipeline, all texts that near-dedup links
+count on one site together, so that lines of near copies stay for near-dedup to judge.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dedup
-from .common import bounded, written
+from .common import bounded, unused, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\f\r"
 
 
 def normalised(line: Column) -> Column:
+    """A line in lower case, white space as single spaces."""
     return F.btrim(F.regexp_replace(F.lower(line), SPACE, " "))
 
 
+def _text_key(text: Column) -> tuple[Column, Column]:
+    """What tells texts apart in joins: hash and length."""
+    return F.xxhash64(text), F.octet_length(text)
+
+
 def line_rows(docs: DataFrame, text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """A row per line with a word: site, line and next (hashes of normalised lines; next is 0 after the last)."""
-    # blank lines normalise to '' and are no lines
-    kept = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), normalised), lambda x: x != "")
-    hashes = F.transform(kept, lambda x: F.xxhash64(x))
-    rows = docs.select(F.col(site_col).alias("site"), hashes.alias("h"))
-    pairs = F.transform("h", lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(F.col("h"), i + 1), F.lit(0)).alias("next")))
-    return rows.select("site", F.explode(pairs).alias("p")).select("site", "p.line", "p.next")
-
-
-def _on_sites(places: DataFrame, min_sites: int, band: float, lg_k: int, *more: Column) -> DataFrame:
-    """Lines on ``min_sites`` sites or more: line, n_sites, n_exact (NULL where a sketch was enough) and ``more`` aggregates."""
-    sketches = places.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("site"), lg_k)).alias("estimate"), *more)
-    found = sketches.filter(F.col("estimate") >= (1 - band) * min_sites)
-    near = found.filter(F.col("estimate") <= (1 + band) * min_sites).select("line")
-    exact = places.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct(F.struct("site")).alias("n_exact"))
-    return found.join(exact, "line", "left").withColumn("n_sites", F.coalesce("n_exact", "estimate")).filter(F.col("n_sites") >= min_sites)
-
-
-def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 0.25, lg_k: int = 12, context_share: float = 0.3, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """Hashes of boilerplate lines: line, n_sites, exact (whether n_sites was counted), n_places, n_contexts; ids are not read."""
-    rows = line_rows(docs, text_col, site_col)
-    # a row for each line, site and neighbour: copies fold together before the sketches, whatever their number
-    places = written(rows.groupBy("line", "site", "next").agg(F.count("*").alias("n")), "places")
-    found = _on_sites(places, min_sites, band, lg_k, F.sum("n").alias("n_places"))
-    around = places.join(found.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("next").alias("n_contexts"))
-    out = found.join(around, "line").filter(F.col("n_contexts") >= context_share * F.col("n_places"))
-    return out.select("line", "n_sites", F.col("n_exact").isNotNull().alias("exact"), "n_places", "n_contexts")
-
-
-def spread(docs: DataFrame, min_sites: int = 10, band: float = 0.25, lg_k: int = 12, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """Hashes of lines that classes of near copies (five-word shingles, 0.8) hold on enough sites: line, n_sites, exact, n_classes.
-
-    A class that stands on several sites counts on one of them, drawn by a hash. So n_sites is never more than the number of sites
-    that can each be given a class of their own. Rows that repeat an id are one document.
+    """A row per line with a word: t, z (its text's hash and length), site (a hash, also of null), pos, line (hash of the normalised line).
+
+    A null or empty text has no lines; rows that repeat give their lines again; an empty table gives no rows.
+    """
+    t, z = _text_key(F.col(text_col))
+    rows = docs.select(t.alias("t"), z.alias("z"), F.xxhash64(site_col).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "raw"))
+    return rows.filter(F.btrim("raw", F.lit(_BLANK)) != "").select("t", "z", "site", "pos", F.xxhash64(normalised(F.col("raw"))).alias("line"))
+
+
+def _counted_on(docs: DataFrame, near: bool, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """t, z, counts: the site on which a text counts, for texts that are, by themselves or with their class, on several sites."""
+    t, z = _text_key(F.col(text_col))
+    rows = docs.filter(F.col(text_col).isNotNull())
+    draw = F.md5(F.concat(F.coalesce(F.col(site_col).cast("string"), F.lit("")), F.col(text_col)))
+    rows = rows.select(t.alias("t"), z.alias("z"), F.xxhash64(site_col).alias("site"), draw.alias("draw"))
+    if near:
+        linked = near_dedup.labelled(docs, 5, 80, id_col, text_col).filter("n > 0 and id is not null").select(F.col("text_hash").alias("t"), F.col("component").alias("class")).distinct()
+        # a text has one class, but for texts whose id stands on other texts too: the least
+        linked = linked.groupBy("t").agg(F.min("class").alias("class"))
+        linked = written(rows.groupBy("t", "z", "site").agg(F.min("draw").alias("draw")).join(linked, "t", "left"), "classes")
+        own = linked.withColumn("class", F.coalesce("class", "t"))
+        sites = own.groupBy("class").agg(F.min_by("site", F.xxhash64("class", "site")).alias("counts"), F.min("site").alias("a"), F.max("site").alias("b"))
+        return own.join(sites.filter("a != b").select("class", "counts"), "class").select("t", "z", "counts").distinct()
+    sites = rows.groupBy("t", "z").agg(F.min_by("site", "draw").alias("counts"), F.min("site").alias("a"), F.max("site").alias("b"))
+    return sites.filter("a != b").select("t", "z", "counts")
+
+
+def spread(lines: DataFrame, counted_on: DataFrame, min_sites: int = 10, band: float = 0.25, lg_k: int = 12) -> DataFrame:
+    """Hashes of lines on ``min_sites`` sites or more: line, n_sites, exact (whether n_sites was counted, not estimated).
+
+    ``lines`` as of ``line_rows``; a text in ``counted_on`` (t, z, counts) counts on that site. Without lines there are no rows.
     """
-    found = near_dedup.near_duplicates(docs, 5, 80, id_col, text_col).filter("component_id != doc_id")
-    linked = bounded(found.groupBy(F.col("doc_id").alias("own")).agg(F.min("component_id").alias("linked")), "linked")
-    kept = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), normalised), lambda x: x != "")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(site_col).alias("site"), F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x))).alias("h"))
-    own = own.join(linked, F.col("id") == F.col("own"), "left")
-    rows = own.select(F.coalesce("linked", "id", "hash").alias("class"), "site", F.explode("h").alias("line"))
-    places = written(rows.groupBy("line", "class").agg(F.min_by("site", F.xxhash64("class", "site")).alias("site")), "places")
-    out = _on_sites(places, min_sites, band, lg_k, F.count("*").alias("n_classes"))
-    return out.select("line", "n_sites", F.col("n_exact").isNotNull().alias("exact"), "n_classes")
-
-
-def _marked(docs: DataFrame, id_col: str, text_col: str, site_col: str, rule: Callable[..., DataFrame], **limits) -> DataFrame:
-    """All rows and columns, with ``__gone``: positions of the text's boilerplate lines, NULL where there is none."""
-    bad = rule(docs, text_col=text_col, site_col=site_col, id_col=id_col, **limits).select(F.col("line").alias("bad"))
-    raw = F.split(F.col(text_col), "\n", -1)
-    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.posexplode(F.transform(raw, lambda x: F.struct(normalised(x).alias("x")))).alias("pos", "l"))
-    rows = rows.filter(F.col("l.x") != "").select("__id", "__hash", "pos", F.xxhash64("l.x").alias("line"))
-    hit = rows.join(bounded(bad, "boilerplate"), F.col("line") == F.col("bad")).groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__gone"))
-    hit = bounded(hit, "gone", weight="size(__gone)")
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
-
-
-def _cleared(text_col: str) -> Column:
-    """The text without the lines in ``__gone``."""
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    return F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", rule: Callable[..., DataFrame] = boilerplate, **limits) -> DataFrame:
+    places = lines.join(bounded(counted_on, "counted-on"), ["t", "z"], "left").select("line", F.coalesce("counts", "site").alias("site"))
+    sketches = places.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("estimate"))
+    found = written(sketches.filter(F.col("estimate") >= (1 - band) * min_sites), "spread")
+    close = bounded(found.filter(F.col("estimate") <= (1 + band) * min_sites).select("line"), "close")
+    exact = places.join(close, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("n_exact"))
+    found = found.join(exact, "line", "left").withColumn("n_sites", F.coalesce("n_exact", "estimate")).filter(F.col("n_sites") >= min_sites)
+    return found.select("line", "n_sites", F.col("n_exact").isNotNull().alias("exact"))
+
+
+def boilerplate(docs: DataFrame, near: bool = False, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id", **limits) -> DataFrame:
+    """Hashes of boilerplate lines, as ``spread`` gives them. Ids are read only with ``near``; an empty table gives no rows."""
+    lines = written(line_rows(docs, text_col, site_col), "lines")
+    return spread(lines, _counted_on(docs, near, id_col, text_col, site_col), **limits)
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, site_col: str, near: bool, **limits) -> tuple[DataFrame, str]:
+    """All rows and columns, and the name of one more: positions of the text's boilerplate lines, NULL where there is none."""
+    t, z, gone = unused(docs, "t", "z", "gone")
+    lines = written(line_rows(docs, text_col, site_col), "lines")
+    bad = bounded(spread(lines, _counted_on(docs, near, id_col, text_col, site_col), **limits).select("line"), "boilerplate")
+    hit = lines.join(bad, "line").groupBy(F.col("t").alias(t), F.col("z").alias(z)).agg(F.collect_set("pos").alias(gone))
+    hit = bounded(hit, "gone", weight=f"size(`{gone}`)")
+    own = _text_key(docs[text_col])
+    return docs.join(hit, (own[0] == hit[t]) & (own[1] == hit[z]), "left").drop(t, z), gone
+
+
+def _cleared(text_col: str, gone: str) -> Column:
+    """The text without the lines at the positions in ``gone``."""
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
+    return F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", near: bool = False, **limits) -> DataFrame:
     """doc_id, text without boilerplate lines, n_lines (with a word), n_removed, for each row.
 
     Other lines stay as they are, blank ones too. A null text stays null and has no lines; a null site is a site of its own; rows
-    that repeat an id and text get equal results; an empty table gives no rows. Other columns are not read.
+    that repeat a text get equal results; an empty table gives no rows. Other columns are not read.
     """
-    rows = _marked(docs.select(id_col, text_col, site_col), id_col, text_col, site_col, rule, **limits)
+    rows, gone = _marked(docs.select(id_col, text_col, site_col), id_col, text_col, site_col, near, **limits)
     n_lines = F.size(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != ""))
     return rows.select(
-        F.col(id_col).alias("doc_id"), _cleared(text_col).alias("text"), F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+        F.col(id_col).alias("doc_id"), _cleared(text_col, gone).alias("text"), F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
     )
 
 
-def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str | None = "n_chars", rule: Callable[..., DataFrame] = spread, **limits) -> DataFrame:
-    """All documents, all columns, boilerplate lines taken out of the text; ``chars_col``, if any, follows the text."""
-    out = _marked(docs, id_col, text_col, site_col, rule, **limits)
-    columns = {text_col: _cleared(text_col)}
+def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str | None = "n_chars", near: bool = True, **limits) -> DataFrame:
+    """All rows, all columns, boilerplate lines taken out of the text; ``chars_col``, if any, follows a text that changes.
+
+    Nulls, repeated rows and empty tables are as in ``dedup_lines``; columns of any other name are handed on.
+    """
+    out, gone = _marked(docs, id_col, text_col, site_col, near, **limits)
+    columns = {text_col: _cleared(text_col, gone)}
     if chars_col and chars_col in docs.columns:
-        columns[chars_col] = F.when(F.col("__gone").isNull(), F.col(chars_col)).otherwise(F.char_length(_cleared(text_col)).cast(docs.schema[chars_col].dataType))
+        columns[chars_col] = F.when(F.col(gone).isNull(), F.col(chars_col)).otherwise(F.char_length(_cleared(text_col, gone)).cast(docs.schema[chars_col].dataType))
     return out.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
-    """For each document: doc_id, n_lines, n_removed, text_sha256 of what is left."""
+    """For each document row: doc_id, n_lines, n_removed, text_sha256 of what is left (of nothing for a null text)."""
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -205,7 +205,7 @@ def _across(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return written(both.filter(enough).select("a", F.col("a2").alias("b")).distinct(), "links")
 
 
-def _labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, n and component of each row; see ``near_duplicates``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = rows.withColumn("hash", F.xxhash64("text")).mapInArrow(lean(_signatures(k)), "id long, text_hash long, n long, set_hash binary, keys array<long>")
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     has none and is linked with nothing. Rows that repeat an id are one document with several texts. A null id gives a row that
     is linked with nothing. An empty table gives no rows. Other columns are not read.
     """
-    return _labelled(docs, k, percent, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return labelled(docs, k, percent, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +251,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     repeated id with another text is judged by that text, and stays if nothing of a lesser id is linked to it.
     """
     i, h = unused(docs, "id", "hash")
-    found = written(_labelled(docs, k, percent, id_col, text_col).filter("id is not null"), "found")
+    found = written(labelled(docs, k, percent, id_col, text_col).filter("id is not null"), "found")
     key = lambda df: df.select(F.col("id").alias(i), F.col("text_hash").alias(h))
     same = (docs[id_col].cast("long") == F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(h))
     out = docs.join(bounded(key(found.filter("component != id")).distinct(), "dropped"), same, "left_anti")

@@ -91,11 +91,11 @@ o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed >= 0.2 * n_words AS kept FROM o""",
     "op9_line_dedup": rf"""
-WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents),
-x AS (SELECT doc_id, source, p, l[p] AS raw, trim(regexp_replace(lower(l[p]), '{_SPACE}', ' ', 'g')) AS line FROM d, unnest(range(1, len(l) + 1)) t(p)),
-y AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM x WHERE line <> ''),
-b AS (SELECT line FROM y GROUP BY line HAVING count(DISTINCT source) >= 10 AND count(DISTINCT coalesce(nxt, '')) >= 0.3 * count(*)),
-r AS (SELECT doc_id, count(*) AS n_removed FROM y WHERE line IN (SELECT line FROM b) GROUP BY doc_id),
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, text, p, l[p] AS raw, trim(regexp_replace(lower(l[p]), '{_SPACE}', ' ', 'g')) AS line FROM d, unnest(range(1, len(l) + 1)) t(p)),
+s AS (SELECT text, arg_min(source, md5(source || text)) AS site FROM documents GROUP BY text),
+b AS (SELECT line FROM x JOIN s USING (text) WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
+r AS (SELECT doc_id, count(*) AS n_removed FROM x WHERE line IN (SELECT line FROM b) GROUP BY doc_id),
 t AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY p) FILTER (line NOT IN (SELECT line FROM b)), '') AS text, count(*) FILTER (line <> '') AS n_lines FROM x GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t.text, '')) AS text_sha256
 FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)""",
