@@ -42,6 +42,11 @@ def ordering(codes: DataFrame) -> DataFrame:
     return codes.join(ranks, "value")
 
 
+def length_lut(codes: DataFrame) -> DataFrame:
+    """The length of each code's value in characters: code, len."""
+    return codes.select("code", F.char_length("value").alias("len"))
+
+
 def min_max(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("min"), F.max(column).alias("max"))
 

@@ -104,7 +104,9 @@ def dictionary(df: DataFrame, column: str, order: str = "sorted", order_by: list
 def unique_inverse(df: DataFrame, column: str, out: str = "inv") -> DataFrame:
     """Each row with the position of its value among the sorted distinct ones; -1 for NULL."""
     codes = dictionary(df, column).select(F.col("value").alias("__value"), F.col("code").alias("__code"))
-    return df.join(codes, df[column] == F.col("__value"), "left").withColumn(out, F.coalesce("__code", F.lit(-1).cast("long"))).drop("__value", "__code")
+    # NULL keys stay out of the join, where all of them would meet in one task
+    found = df.filter(F.col(column).isNotNull()).join(codes, df[column] == F.col("__value"), "left").withColumn(out, F.coalesce("__code", F.lit(-1).cast("long"))).drop("__value", "__code")
+    return found.unionByName(df.filter(F.col(column).isNull()).withColumn(out, F.lit(-1).cast("long")))
 
 
 def pack_keys(*keys: Column, mode: str = "pack", sizes: list[int] | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import fail
+from ..plans.order import ranked
 from .grouping import dictionary
 
 
@@ -62,6 +63,15 @@ def lookup(probe: DataFrame, build: DataFrame, key: str, build_key: str | None =
     return rows.withColumns({out: F.coalesce("__code", F.lit(-1).cast("long")), hit: F.col("__code").isNotNull()}).drop("__key", "__code")
 
 
+def lookup_input(probe: DataFrame, build: DataFrame, key: str, order_by: str | list[str], build_key: str | None = None, out: str = "pos", hit: str = "hit") -> DataFrame:
+    """The place of each key among the build side's rows as they are ordered, -1 on a miss or for NULL, and a hit mask."""
+    build_key = build_key or key
+    check_unique(build, build_key, "lookup_input")
+    places = ranked(build, [order_by] if isinstance(order_by, str) else list(order_by), "__place").filter(F.col(build_key).isNotNull())
+    rows = probe.join(places.select(F.col(build_key).alias("__key"), "__place"), probe[key] == F.col("__key"), "left")
+    return rows.withColumns({out: F.coalesce("__place", F.lit(-1).cast("long")), hit: F.col("__place").isNotNull()}).drop("__key", "__place")
+
+
 def checksum(joined: DataFrame, a: str, b: str, valid: str | None = None) -> DataFrame:
     """Sums of two payloads over valid rows."""
     rows = joined.filter(F.col(valid)) if valid else joined

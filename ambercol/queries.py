@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from .expr import col as c
 from .functions import dates, numeric, text
 from .operators import dictionaries as dic
 from .operators import graph, grouping, indicators, joins, lanes, positional, random
+from .plans.order import running
 from .plans.scratch import scratch_path, written
-from .sources import blocks
+from .sources import adapters, blocks
 from .streaming import incremental
 from .table import Table
 
@@ -139,12 +141,14 @@ add("unique", lambda s, d: grouping.unique(nulled(s, d), "status"), f"SELECT DIS
 add("unique_inverse", lambda s, d: grouping.unique_inverse(nulled(s, d), "priority").select("o_orderkey", "inv"), f"SELECT o_orderkey, CASE WHEN priority IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY priority NULLS LAST) - 1 END AS inv FROM {NULLED}")
 add("pack_keys_pack", lambda s, d: t(s, d, "lineitem").groupBy(grouping.pack_keys(F.col("l_suppkey"), F.col("l_linenumber")).alias("k")).agg(F.count("*").alias("n")), "SELECT l_suppkey * 4294967296 + l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1")
 add("pack_keys_radix", lambda s, d: t(s, d, "lineitem").groupBy(grouping.pack_keys(F.col("l_suppkey"), F.col("l_linenumber"), mode="radix", sizes=[1 << 20, 16]).alias("k")).agg(F.count("*").alias("n")), "SELECT l_suppkey * 16 + l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1")
-SEGMENTS = "(SELECT CAST(s AS BIGINT) AS segment, CAST(s * 37 + s % 5 AS BIGINT) AS b, CAST(CASE WHEN s % 11 = 0 THEN s * 37 + s % 5 ELSE (s + 1) * 37 END AS BIGINT) AS e FROM range(0, 40) t(s))"
+SEGMENTS = "(SELECT CAST(s AS BIGINT) AS segment, CAST(s * 37 + s % 5 AS BIGINT) AS b, CAST(CASE WHEN s % 11 = 0 THEN s * 37 + s % 5 ELSE (s + 1) * 37 END AS BIGINT) AS e FROM (SELECT DISTINCT event_id // 37 AS s FROM events))"
 for op in ("sum", "count", "min", "max"):
 
     def segmented(s, d, op=op):
-        bounds = s.range(40).select(F.col("id").alias("segment"), (F.col("id") * 37 + F.col("id") % 5).alias("begin"), F.when(F.col("id") % 11 == 0, F.col("id") * 37 + F.col("id") % 5).otherwise((F.col("id") + 1) * 37).alias("end"))
-        return grouping.segmented_reduce(t(s, d, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("value")), bounds, op)
+        events = t(s, d, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("value"))
+        own, begin = F.col("segment"), F.col("segment") * 37 + F.col("segment") % 5
+        bounds = events.select(F.floor(F.col("pos") / 37).alias("segment")).distinct().select("segment", begin.alias("begin"), F.when(own % 11 == 0, begin).otherwise((own + 1) * 37).alias("end"))
+        return grouping.segmented_reduce(events, bounds, op)
 
     add(f"segmented_{op}", segmented, f"SELECT segment, {'coalesce(sum(user_id), 0)::BIGINT' if op == 'sum' else f'{op}(user_id)'} AS result FROM {SEGMENTS} x LEFT JOIN events ON event_id >= b AND event_id < e GROUP BY segment")
 add("bounded_select", lambda s, d: grouping.bounded_select(t(s, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 3).select("o_custkey", "o_orderkey", "rank"), "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS rank FROM orders QUALIFY rank < 3")
@@ -157,7 +161,14 @@ add("lookup", lambda s, d: joins.lookup(t(s, d, "documents").select("doc_id"), t
 add("is_member", lambda s, d: joins.is_member(t(s, d, "documents").select("doc_id"), t(s, d, "labels"), "doc_id", "x"), "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS x FROM documents")
 add("semi_join", lambda s, d: joins.semi_join(t(s, d, "customer").select("c_custkey"), t(s, d, "orders"), "c_custkey", "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 add("anti_join", lambda s, d: joins.anti_join(t(s, d, "customer").select("c_custkey"), t(s, d, "orders"), "c_custkey", "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-add("gather", lambda s, d: positional.gather(t(s, d, "events"), s.range(500).select("id", (F.col("id") * 7 % 200).alias("i")), "event_id", "value", "i", "x"), "SELECT id, i, value AS x FROM (SELECT CAST(r AS BIGINT) AS id, CAST(r * 7 % 200 AS BIGINT) AS i FROM range(0, 500) t(r)) JOIN (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events) ON p = i")
+add("gather", lambda s, d: positional.gather(t(s, d, "events"), t(s, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 7 % F.lit(t(s, d, "events").count())).alias("i")), "event_id", "value", "i", "x"),
+    "SELECT event_id AS id, i, x FROM (SELECT event_id, event_id * 7 % (SELECT count(*) FROM events) AS i FROM events) JOIN (SELECT value AS x, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events) ON p = i")
+add("cumsum_null_order", lambda s, d: running(nulled(s, d).select("o_orderkey", "price", "o_custkey"), {"total": F.col("o_custkey")}, ["price", "o_orderkey"], block=700).select("o_orderkey", "total"),
+    f"SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY price NULLS FIRST, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM {NULLED}")
+add("cumsum_text_order", lambda s, d: running(nulled(s, d).select("o_orderkey", "priority", "o_custkey"), {"total": F.col("o_custkey")}, ["priority", "o_orderkey"], block=700).select("o_orderkey", "total"),
+    f"SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY priority NULLS FIRST, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM {NULLED}")
+add("cumsum_wrap", lambda s, d: positional.cumsum(t(s, d, "orders").select("o_orderkey", (F.col("o_custkey") * 4_000_003).alias("v")), "v", "x", "o_orderkey", wrap=True).select("o_orderkey", F.col("x").cast("long").alias("x")),
+    "SELECT o_orderkey, CAST(((c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS BIGINT) AS x FROM (SELECT o_orderkey, sum(o_custkey * 4000003) OVER (ORDER BY o_orderkey) AS c FROM orders)")
 
 # -- dictionaries
 add("dict_encode", lambda s, d: dic.encode(nulled(s, d), "priority").select("o_orderkey", "code"), f"SELECT o_orderkey, CASE WHEN priority IS NOT NULL THEN dense_rank() OVER (ORDER BY priority NULLS LAST) - 1 END AS code FROM {NULLED}")
@@ -169,12 +180,24 @@ add("dict_range", lambda s, d: dic.range_codes(dic.dictionary(t(s, d, "part"), "
 add("dict_min_max", lambda s, d: dic.min_max(t(s, d, "part"), "p_name"), "SELECT min(p_name) AS min, max(p_name) AS max FROM part")
 add("dict_member", lambda s, d: nulled(s, d).select("o_orderkey", dic.member_mask(F.col("status"), ["F"]).alias("x")), f"SELECT o_orderkey, coalesce(status = 'F', false) AS x FROM {NULLED}")
 add("dict_count_allowed", lambda s, d: dic.count_allowed(nulled(s, d), "status", ["F", "O"]), f"SELECT count(*) FILTER (status IN ('F', 'O')) AS n FROM {NULLED}")
+add("lookup_input", lambda s, d: joins.lookup_input(t(s, d, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("k")), t(s, d, "customer"), "k", ["c_acctbal", "c_custkey"], "c_custkey").select("o_orderkey", "pos", "hit"),
+    "SELECT o_orderkey, coalesce(p, -1) AS pos, p IS NOT NULL AS hit FROM orders LEFT JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS p FROM customer) ON c_custkey = o_custkey * 2")
+add("dict_lengths", lambda s, d: dic.length_lut(dic.dictionary(nulled(s, d), "priority")), f"SELECT dense_rank() OVER (ORDER BY priority) - 1 AS code, CAST(length(priority) AS BIGINT) AS len FROM (SELECT DISTINCT priority FROM {NULLED} WHERE priority IS NOT NULL)")
+add("dict_lookup", lambda s, d: s.createDataFrame([(k, dic.lookup_code(dic.dictionary(nulled(s, d), "priority"), k)) for k in ("2-HIGH", "no such")], "key string, code long"),
+    f"SELECT key, code FROM (VALUES ('2-HIGH'), ('no such')) k(key) LEFT JOIN (SELECT priority, dense_rank() OVER (ORDER BY priority) - 1 AS code FROM (SELECT DISTINCT priority FROM {NULLED} WHERE priority IS NOT NULL)) ON priority = key")
+add("group_text_min_max", lambda s, d: grouping.group(t(s, d, "part"), "p_brand", {"p_name": ("min", "max", "count")}, sep="_"), "SELECT p_brand, min(p_name) AS p_name_min, max(p_name) AS p_name_max, count(p_name) AS p_name_count FROM part GROUP BY 1")
+add("chain_reduce", lambda s, d: s.createDataFrame([(lineitem(s, d).filter(c("l_quantity") >= 10).reduce("count", "l_tax"), int(lineitem(s, d).reduce("max", "l_orderkey")))], "n long, most long"), "SELECT count(*) FILTER (l_quantity >= 10) AS n, max(l_orderkey) AS most FROM lineitem")
+add("reduce_skipna", lambda s, d: s.createDataFrame([(grouping.reduce(nulled(s, d), "count", "price", skipna=False), round(float(grouping.reduce(nulled(s, d), "max", "price")), 2), math.isnan(grouping.reduce(nulled(s, d), "sum", "price", skipna=False)))], "rows long, most double, unknown boolean"),
+    f"SELECT count(*) AS rows, round(max(price), 2) AS most, count(*) > count(price) AS unknown FROM {NULLED}")
 add("dict_predicates", lambda s, d: nulled(s, d).select("o_orderkey", dic.contains(F.col("priority"), "I").alias("a"), dic.not_contains(F.col("priority"), "I").alias("b"), dic.equal(F.col("status"), "F").alias("e"), dic.not_equal(F.col("status"), "F").alias("f"), dic.all_of(dic.not_empty(F.col("status")), dic.contains(F.col("priority"), "-")).alias("g")),
     f"SELECT o_orderkey, coalesce(contains(priority, 'I'), false) AS a, coalesce(NOT contains(priority, 'I'), false) AS b, coalesce(status = 'F', false) AS e, coalesce(status <> 'F', false) AS f, coalesce(status <> '', false) AND coalesce(contains(priority, '-'), false) AS g FROM {NULLED}")
 
 # -- sort and limit; the position in the result is part of it
-add("sort_multi", lambda s, d: Table(t(s, d, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey").query().sort("p_brand", "p_size").limit(50).compile().df, "SELECT p_partkey, p_size, p_brand FROM part ORDER BY p_brand, p_size, p_partkey LIMIT 50")
-add("sort_desc_nulls_last", lambda s, d: Table(nulled(s, d).select("o_orderkey", "price"), "o_orderkey").query().sort("price", desc=True).limit(13_000).compile().df, f"SELECT o_orderkey, price FROM {NULLED} ORDER BY price DESC NULLS LAST, o_orderkey LIMIT 13000")
+add("sort_multi", lambda s, d: Table(t(s, d, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey").query().sort("p_brand", "p_size").positions("pos").compile().df,
+    "SELECT p_partkey, p_size, p_brand, row_number() OVER (ORDER BY p_brand, p_size, p_partkey) - 1 AS pos FROM part")
+add("sort_mixed", lambda s, d: Table(t(s, d, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey").query().sort("p_brand", "p_size", flags=[False, True], position="before").positions("pos").compile().df,
+    "SELECT p_partkey, p_size, p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS before, row_number() OVER (ORDER BY p_brand, p_size DESC, p_partkey) - 1 AS pos FROM part")
+add("sort_desc_nulls_last", lambda s, d: Table(nulled(s, d).select("o_orderkey", "price"), "o_orderkey").query().sort("price", desc=True).positions("pos").compile().df, f"SELECT o_orderkey, price, row_number() OVER (ORDER BY price DESC NULLS LAST, o_orderkey) - 1 AS pos FROM {NULLED}")
 add("limit_offset", lambda s, d: Table(t(s, d, "events").select("event_id", "value"), "event_id").query().limit(25, offset=40).compile().df, "SELECT event_id, value FROM events ORDER BY event_id LIMIT 25 OFFSET 40")
 add("topk", lambda s, d: Table(t(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey").query().sort("o_totalprice", desc=True).limit(10).compile().df, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 add("set_operations", lambda s, d: Table(t(s, d, "customer").select("c_nationkey")).query().intersect(t(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))).union(t(s, d, "nation").filter("n_nationkey < 3").select(F.col("n_nationkey").alias("c_nationkey"))).compile().df, "SELECT * FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT n_nationkey FROM nation WHERE n_nationkey < 3")
@@ -243,13 +266,37 @@ def routes(spark, d):
     return graph.route(written(edges(spark, d), "edges"), ends)
 
 
-add("route", routes)
-add("adjacency_slice", lambda s, d: graph.adjacency_slice(edges(s, d), s.range(1, 40).select(F.col("id").alias("vertex"))), f"SELECT vertex, (SELECT count(*) FROM {_EDGES} WHERE src < vertex) AS begin, (SELECT count(*) FROM {_EDGES} WHERE src <= vertex) AS \"end\" FROM (SELECT CAST(v AS BIGINT) AS vertex FROM range(1, 40) t(v))")
-add("adjacency_flat", lambda s, d: graph.adjacency_flat(edges(s, d), s.range(1000000, 1000005).select((F.col("id") - 1000000).alias("ord"), F.col("id").alias("vertex"))).drop("edge"), f"SELECT v - 1000000 AS ord, v AS vertex, dst AS neighbour FROM range(1000000, 1000005) t(v) JOIN {_EDGES} ON src = v")
+_PATHS = f"""
+WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), r AS (SELECT CAST(c_custkey AS BIGINT) AS source, CAST(c_custkey AS BIGINT) AS node, CAST(0 AS BIGINT) AS dist, 0 AS n FROM customer WHERE c_custkey BETWEEN 1 AND 3 UNION SELECT r.source, e.dst, r.dist + e.w, r.n + 1 FROM r JOIN e ON r.node = e.src WHERE r.n < 4 AND (r.n = 0 OR r.node >= 1000000)),
+b AS (SELECT source, node, min(dist * 1000 + n) AS k FROM r GROUP BY ALL)"""
+add("sssp_pred", lambda s, d: graph.sssp(written(edges(s, d), "edges"), t(s, d, "customer").filter("c_custkey between 1 and 3").select(F.col("c_custkey").alias("source"))), f"""{_PATHS}
+SELECT b.source, b.node, b.k // 1000 AS dist, (SELECT min(e.src) FROM e JOIN b p ON p.node = e.src WHERE p.source = b.source AND e.dst = b.node AND p.k + e.w * 1000 + 1 = b.k) AS pred FROM b""")
+add("route", routes, f"""{_PATHS},
+near AS (SELECT q.query, b.node, min(b.k // 1000) AS dist FROM (VALUES (1, 1), (1, 2), (2, 3)) q(query, source) JOIN b USING (source) GROUP BY ALL),
+hit AS (SELECT near.query, min(dist * 1000000000 + near.node) AS t FROM near JOIN (VALUES (1, 5), (1, 6), (2, 99999999)) g(query, node) ON near.query = g.query AND near.node = g.node GROUP BY ALL)
+SELECT CAST(near.query AS BIGINT) AS query, CAST(coalesce(any_value(t) // 1000000000, 9223372036854775807) AS BIGINT) AS dist, CAST(coalesce(any_value(t) % 1000000000, -1) AS BIGINT) AS target, count(*) FILTER (t IS NULL OR dist * 1000000000 + near.node <= t) AS visited
+FROM near LEFT JOIN hit ON near.query = hit.query GROUP BY near.query""")
+add("adjacency_slice", lambda s, d: graph.adjacency_slice(edges(s, d), t(s, d, "customer").select(F.col("c_custkey").cast("long").alias("vertex"))),
+    f"SELECT vertex, coalesce(e, 0) - coalesce(n, 0) AS begin, coalesce(e, 0) AS \"end\" FROM (SELECT src AS vertex, count(*) AS n, sum(count(*)) OVER (ORDER BY src)::BIGINT AS e FROM {_EDGES} GROUP BY src) WHERE vertex IN (SELECT c_custkey FROM customer)")
+add("adjacency_flat", lambda s, d: graph.adjacency_flat(edges(s, d), t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), (F.col("n_nationkey") + 1_000_000).cast("long").alias("vertex"))).drop("edge"), f"SELECT CAST(n_nationkey AS BIGINT) AS ord, CAST(n_nationkey + 1000000 AS BIGINT) AS vertex, dst AS neighbour FROM nation JOIN {_EDGES} ON src = n_nationkey + 1000000")
 
 # -- random; NumPy checks the values in the tests
-add("rng_fill_i32", lambda s, d: random.fill_i32(s, 10_000, 42, lo=-5, hi=95))
-add("rng_fill_f64", lambda s, d: random.fill_f64(s, 10_000, 42))
+
+
+def philox_sql(n: int, seed: int) -> str:
+    """The generator's first two words for counters 0 to n - 1: ten rounds, a subquery for each."""
+    (m0, m1), low = random.PHILOX_MULTIPLIERS, (1 << 32) - 1
+    word = lambda x: f"{x}::UBIGINT"
+    out = f"SELECT i::BIGINT AS id, i::UBIGINT AS x0, {word(0)} AS x1, {word(random.COUNTER_WORDS[0])} AS x2, {word(random.COUNTER_WORDS[1])} AS x3 FROM range({n}) t(i)"
+    k = list(random._key(seed, 0))
+    for _ in range(10):
+        out = f"SELECT id, xor(xor((x2 * {m1}) >> 32, x1), {word(k[0])}) AS x0, (x2 * {m1}) & {word(low)} AS x1, xor(xor((x0 * {m0}) >> 32, x3), {word(k[1])}) AS x2, (x0 * {m0}) & {word(low)} AS x3 FROM ({out})"
+        k = [(x + y) & low for x, y in zip(k, random.PHILOX_INCREMENTS)]
+    return out
+
+
+add("rng_fill_i32", lambda s, d: random.fill_i32(s, 10_000, 42, lo=-5, hi=95), f"SELECT id, CAST(((x0 * 100) >> 32)::BIGINT - 5 AS INTEGER) AS value FROM ({philox_sql(10_000, 42)})")
+add("rng_fill_f64", lambda s, d: random.fill_f64(s, 10_000, 42), f"SELECT id, ((((x0 >> 5) * 67108864) | (x1 >> 6))::DOUBLE / 9007199254740992.0) AS value FROM ({philox_sql(10_000, 42)})")
 add("rng_sample", lambda s, d: random.sample(s, 10_000, 500, 42))
 add("rng_permutation", lambda s, d: random.permutation(s, 5_000, 42))
 add("rng_compat", lambda s, d: random.compat(s, 1_000, 42))
@@ -283,3 +330,38 @@ add("stream_group", streamed, "SELECT user_id, round(sum(value), 2) AS value_sum
 add("event_windows", lambda s, d: rounded(incremental.windowed(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], {"value": ("sum", "count")}, "1 day"), 2).withColumns({x: F.col(x).cast("timestamp_ntz") for x in ("start", "end")}), "SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, round(sum(value), 2) AS value_sum, count(value) AS value_count FROM events GROUP BY ALL")
 add("sessions", lambda s, d: incremental.sessions(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["user_id"], "6 hours").select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start")),
     "SELECT user_id, count(*) AS n, min(ts) AS start FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, k")
+
+
+def adapted(spark, d):
+    """A table to Arrow and back, and to pandas and back: a driver-side round trip of a small table."""
+    rows = t(spark, d, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("bal"))
+    arrow = adapters.from_arrow(spark, adapters.to_arrow(rows))
+    return adapters.from_pandas(spark, adapters.to_pandas(arrow)).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", "bal")
+
+
+add("adapters", adapted, "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS bal FROM supplier")
+
+
+def csv_blocks(spark, d):
+    """A CSV file of a table, built into blocks and read again block by block."""
+    path = scratch_path(spark, "csv")
+    t(spark, d, "part").select("p_partkey", "p_size", "p_brand").repartition(1).sortWithinPartitions("p_partkey").write.option("header", True).csv(f"{path}/in")
+    blocks.build_blocks_from_csv(spark, f"{path}/in", f"{path}/out", "p_partkey long, p_size int, p_brand string", 300)
+    return blocks.open_blocks(spark, f"{path}/out").table().select("p_partkey", "p_size", "p_brand", "row", F.col("block").cast("long").alias("block"))
+
+
+add("csv_blocks", csv_blocks, "SELECT *, row // 300 AS block FROM (SELECT p_partkey, p_size, p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS row FROM part)")
+add("resident_prepare", lambda s, d: blocks.resident_prepare(t(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), {"c_name": {"prefix": "Customer#"}, "c_mktsegment": {"encoding": "dictionary"}}).select("c_custkey", F.col("c_name").cast("long").alias("c_name"), "c_mktsegment"),
+    "SELECT c_custkey, CAST(replace(c_name, 'Customer#', '') AS BIGINT) AS c_name, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS c_mktsegment FROM customer")
+
+
+def windows_streamed(spark, d):
+    """Hourly windows over events that arrive as a stream of files."""
+    path = scratch_path(spark, "hours")
+    t(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").repartition(8, "event_id").write.parquet(path)
+    stream = incremental.stream_files(spark, path, "event_id long, ts timestamp, event_type string", 2)
+    found = incremental.finished(incremental.windowed(stream, "ts", ["event_type"], {"event_id": ("count", "max")}, "1 hour", late="3650 days"))
+    return found.select(F.unix_timestamp("start").alias("start"), "event_type", "event_id_count", "event_id_max")
+
+
+add("stream_windows", windows_streamed, "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS event_id_count, max(event_id) AS event_id_max FROM events GROUP BY ALL")

@@ -58,6 +58,8 @@ class Blocks:
 
     spark: SparkSession
     path: str
+    mode: str = "lazy"
+    budget_bytes: int | None = None
 
     def table(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
@@ -84,8 +86,23 @@ class Blocks:
         for r in self.table().select("block").distinct().orderBy("block").collect():  # a row for each folder
             yield self.read_block(r.block)
 
-    def plan(self, budget_bytes: int, row_bytes: int = 64) -> dict:
-        """How many blocks fit a budget at once, and in how many rounds all are read."""
+    @property
+    def nrows(self) -> int:
+        return self.table().count()
+
+    def read(self) -> DataFrame:
+        """All rows in order, in mode 'full'; refused where they are over the budget, as blocks can be read instead."""
+        if self.mode != "full":
+            raise fail("read", "the table was opened lazily.", "iterate over its blocks, or open it with mode='full'.")
+        if self.budget_bytes is not None and self.plan()["nchunks"] > 1:
+            raise fail("read", f"the rows are over the budget of {self.budget_bytes} bytes.", "open it with mode='lazy', or raise the budget.")
+        return self.table().orderBy("block", "row")
+
+    def plan(self, budget_bytes: int | None = None, row_bytes: int = 64) -> dict:
+        """How many blocks fit a budget (that of the opening, if none is given) at once, and in how many rounds all are read."""
+        budget_bytes = self.budget_bytes if budget_bytes is None else budget_bytes
+        if budget_bytes is None:
+            raise fail("plan", "there is no budget.", "pass budget_bytes here or to open_stream.")
         sizes = self.index().agg(F.count("*").alias("n"), F.max("rows").alias("most")).first()
         each = max(1, budget_bytes // max(1, (sizes.most or 1) * row_bytes))
         return {"nblocks": sizes.n, "blocks_per_chunk": min(each, max(1, sizes.n)), "nchunks": -(-sizes.n // each) if sizes.n else 0}
@@ -94,8 +111,10 @@ class Blocks:
         return json.dumps({"path": self.path, "columns": self.columns, "nblocks": self.nblocks})
 
 
-def open_blocks(spark: SparkSession, path: str) -> Blocks:
-    return Blocks(spark, path)
+def open_blocks(spark: SparkSession, path: str, mode: str = "lazy", budget_bytes: int | None = None) -> Blocks:
+    if mode not in ("lazy", "full"):
+        raise fail("open_stream", f"mode is {mode!r}.", "use 'lazy' or 'full'.")
+    return Blocks(spark, path, mode, budget_bytes)
 
 
 def resident_prepare(df: DataFrame, spec: dict[str, dict]) -> DataFrame:
@@ -111,7 +130,7 @@ def resident_prepare(df: DataFrame, spec: dict[str, dict]) -> DataFrame:
         elif how.get("encoding") == "date":
             df = df.withColumn(name, date_encode(F.col(name)))
         elif how.get("encoding") == "dictionary":
-            df = encode(df, name, "__code").drop(name).withColumnRenamed("__code", name)
+            df = encode(df, name, "__encoded").drop(name).withColumnRenamed("__encoded", name)
         elif "dtype" in how:
             df = df.withColumn(name, check_overflow(F.col(name), how["dtype"]))
         else:

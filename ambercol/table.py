@@ -1,4 +1,6 @@
-"""The lazy table API: open a query, add steps, compile. Each step is a DataFrame step; nothing runs before a result is asked for.
+"""The lazy table API: open a query, add steps, compile. Each step is a DataFrame step, and rows are made when a result is asked for.
+
+Some steps run small jobs of their own before that: checks (unique keys, NULL group keys), and counts and quantiles for positions.
 
 Rows keep an order: that of the column named ``position`` (or the business order given), until sort() sets another. Positional
 expressions and limit() follow it.
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from .errors import fail
 from .expr import Expr, Scope, col, const
 from .operators import grouping, joins, positional
+from .plans.order import numbered, ranked
 from .types import dtype_of
 
 #: The names of the table API, by the class that has them.
@@ -166,20 +169,42 @@ class Chain:
             raise fail("reduce", f"{column!r} is text.", "count it.")
         return grouping.reduce(self.df, op, column)
 
-    def sort(self, *keys: str, desc: bool = False) -> Chain:
-        """Stable: rows with a NULL in any key last, ties in the order before."""
+    def sort(self, *keys: str, desc: bool = False, flags: list[bool] | None = None, nulls_first: bool = False, position: str | None = None) -> Chain:
+        """Stable: rows with a NULL in any key last (or first), ties in the order before.
+
+        ``desc`` holds for all keys; ``flags`` has one such flag for each. ``position`` names a column for each row's place in the order before, which is
+        the permutation that sorts.
+        """
         if not isinstance(desc, bool):
             raise fail("sort", f"desc is {desc!r}.", "pass True or False for all keys.")
+        flags = [desc] * len(keys) if flags is None else list(flags)
+        if len(flags) != len(keys) or not all(isinstance(f, bool) for f in flags):
+            raise fail("sort", f"flags are {flags!r}.", "pass True or False, one for each key.")
         if not keys:
             raise fail("sort", "no key is given.", "name one.")
         self._named("sort", *keys)
+        df = self.df
+        if position is not None:
+            if position in df.columns:
+                raise fail("sort", f"there is a column {position!r}.", "choose another name.")
+            df = ranked(df, self._order("sort"), position)
         gone = F.lit(False)
         for k in keys:
             gone = gone | F.col(f"`{k}`").isNull()
-        order = [gone.asc(), *((F.col(f"`{k}`").desc_nulls_last() if desc else F.col(f"`{k}`").asc_nulls_last()) for k in keys)]
+        order = [gone.desc() if nulls_first else gone.asc()]
+        for k, down in zip(keys, flags):
+            col = F.col(f"`{k}`")
+            order.append((col.desc_nulls_first() if down else col.asc_nulls_first()) if nulls_first else (col.desc_nulls_last() if down else col.asc_nulls_last()))
         before = self.sorted_by or tuple(F.col(f"`{c}`").asc() for c in self.order_by)
         order = (*order, *before)
-        return self._next(self.df.orderBy(*order), "sort", list(keys), {"desc": desc}, sorted_by=order)
+        return self._next(df.orderBy(*order), "sort", list(keys), {"desc": desc}, sorted_by=order)
+
+    def positions(self, name: str) -> Chain:
+        """Each row's place, from 0, in the order that holds now. The rows are sorted and written once for it."""
+        if name in self.df.columns:
+            raise fail("positions", f"there is a column {name!r}.", "choose another name.")
+        order = self.sorted_by or tuple(F.col(f"`{c}`").asc() for c in self._order("positions"))
+        return self._next(numbered(self.df, order, name), "positions", [], {"name": name}, order_by=(name,), sorted_by=())
 
     def limit(self, n: int | None, offset: int = 0) -> Chain:
         """Rows offset to offset + n in order; n None takes all from offset on."""
@@ -257,10 +282,15 @@ class App:
     def schema(self, table: Table) -> list[dict]:
         return table.schema()
 
-    def open_stream(self, path: str):
+    def open_stream(self, path: str, mode: str = "lazy", budget_bytes: int | None = None):
+        """A block table; with ``mode`` 'full' its rows are read in one go if they fit the budget, else 'lazy' by blocks."""
         from .sources.blocks import open_blocks
 
-        return open_blocks(self.spark, path)
+        return open_blocks(self.spark, path, mode, budget_bytes)
+
+    def available(self, op: str) -> bool:
+        """Whether an operation is there: all of ``OPERATIONS`` are, on any cluster."""
+        return op in OPERATIONS
 
     def capabilities(self) -> dict:
         return {"op_count": len(OPERATIONS), "ops": list(OPERATIONS), "names": {k: list(v) for k, v in NAMES.items()}, "engine": f"Spark {self.spark.version}"}

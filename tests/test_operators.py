@@ -29,6 +29,21 @@ def test_blocks_of_a_running_sum_and_window_agree_with_plain_python(spark):
     assert [x.l for x in lagged] == [None] * 7 + values[:-7]
 
 
+@pytest.mark.parametrize("block", [10**6, 40])
+def test_running_sums_with_null_nan_text_and_tied_keys_at_any_size(spark, block):
+    r = rnd.Random(7)
+    rows = [(i, r.choice([None, 1.0, 1.0, 1.0, 2.5, float("nan"), -3.0]), r.choice([None, "", "abcdefgh1", "abcdefgh0", "é", "z"]), r.randrange(100)) for i in range(800)]
+    df = spark.createDataFrame(rows, "p long, k double, s string, v long").repartition(5)
+    null_nan = lambda x: (x is not None, x is not None and math.isnan(x), 0 if x is None or math.isnan(x) else x)
+    text_key = lambda x: (x is not None, (x or "").encode())
+    for keys, place in ((["k", "p"], lambda x: (null_nan(x[1]), x[0])), (["s", "p"], lambda x: (text_key(x[2]), x[0])), (["k", "s", "p"], lambda x: (null_nan(x[1]), text_key(x[2]), x[0]))):
+        got = {x.p: x.t for x in order.running(df, {"t": F.col("v")}, keys, block=block).collect()}
+        total = 0
+        for x in sorted(rows, key=place):
+            total += x[3]
+            assert got[x[0]] == total
+
+
 def test_shift_by_more_than_there_is(spark):
     df = spark.createDataFrame([(0, 1), (1, 2)], "p long, v int")
     assert [r.x for r in positional.shift(df, "v", 5, "x", "p").collect()] == [None, None]
@@ -195,6 +210,20 @@ def test_shortest_paths(spark):
         graph.sssp(spark.createDataFrame([(0, 1, -1)], "src long, dst long, w long"), spark.createDataFrame([(0,)], "source long"))
 
 
+def test_predecessors_form_a_tree_over_edges_of_no_weight(spark, monkeypatch):
+    monkeypatch.setattr(graph, "GATHER", 2)
+    rows = [(9, 1, 5), (1, 2, 0), (2, 1, 0), (2, 3, 0), (3, 1, 0), (3, 4, 1), (9, 4, 6), (4, 5, lanes.INF - 5), (9, 6, lanes.INF)]
+    got = {x.node: (x.dist, x.pred) for x in graph.sssp(spark.createDataFrame(rows, "src long, dst long, w long"), spark.createDataFrame([(9,)], "source long")).collect()}
+    assert got == {9: (0, None), 1: (5, 9), 2: (5, 1), 3: (5, 2), 4: (6, 9)}
+
+
+def test_a_router_serves_many_queries(spark):
+    router = graph.Router(graph.edges_of(spark, [0, 2, 3, 4, 4], [1, 2, 2, 3], [1, 4, 2, 7]))
+    for target, want in ((3, 10), (1, 1)):
+        q = spark.createDataFrame([(1, 0, "source"), (1, target, "target")], "query long, node long, kind string")
+        assert router.route_many(q).first().dist == want
+
+
 def test_routes(spark):
     e = graph.edges_of(spark, [0, 2, 3, 4, 4], [1, 2, 2, 3], [1, 4, 2, 7])
     q = spark.createDataFrame([(1, 0, "source"), (1, 3, "target"), (1, 2, "target"), (2, 3, "source"), (2, 0, "target")], "query long, node long, kind string")
@@ -232,6 +261,14 @@ def test_blocks_resume_and_stream(spark, tmp_path):
     b = blocks.open_blocks(spark, path)
     assert b.nblocks == 3 and [x.count() for x in b] == [10, 10, 5] and [r.id for r in b.read_block(2).collect()] == list(range(20, 25))
     assert b.plan(10 * 64)["nchunks"] == 3
+    whole = blocks.open_blocks(spark, path, "full", 10_000)
+    assert [r.id for r in whole.read().collect()] == list(range(25)) and whole.nrows == 25 and whole.plan()["nchunks"] == 1
+    with pytest.raises(ValueError, match="budget"):
+        blocks.open_blocks(spark, path, "full", 640).read()
+    with pytest.raises(ValueError, match="lazily"):
+        b.read()
+    with pytest.raises(ValueError, match="no budget"):
+        b.plan()
     stream = incremental.stream_files(spark, path, "id long, k long, row long, block long", 1)
     got = {r.k: r.id_sum for r in incremental.finished(incremental.grouped(stream, ["k"], {"id": ("sum",)})).collect()}
     assert got == {k: sum(range(k, 25, 3)) for k in range(3)}

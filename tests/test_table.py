@@ -122,3 +122,16 @@ def test_filters_and_columns_reach_the_scan(spark, c):
     plan = q.explain()
     assert "GreaterThan(l_orderkey,10)" in plan and "l_comment" not in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_tax:double>" in plan
+
+
+def test_sort_flags_positions_and_permutation(spark):
+    rows = [(0, 2, "b"), (1, None, "a"), (2, 1, "b"), (3, 2, "a"), (4, 1, None)]
+    q = Table(spark.createDataFrame(rows, "p long, n int, s string"), "p").query()
+    got = q.sort("n", "s", flags=[True, False], position="was").positions("at").compile().df.collect()
+    assert [r.was for r in sorted(got, key=lambda r: r["at"])] == [3, 0, 2, 4, 1]
+    first = q.sort("n", nulls_first=True).positions("at").compile().df.collect()
+    assert [r.p for r in sorted(first, key=lambda r: r["at"])] == [1, 2, 4, 0, 3]
+    with pytest.raises(ValueError, match="one for each"):
+        q.sort("n", "s", flags=[True])
+    with pytest.raises(ValueError, match="there is a column"):
+        q.sort("n").positions("s")
