@@ -6,9 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..plans.scratch import scratch_path, shared_dir, written
+from ..plans.scratch import bounded, scratch_path, shared_dir, written
 
 __all__ = ["LOWER", "WORDS", "arrow_rows", "bounded", "lean", "scratch_path", "shared_dir", "table", "texts_of", "to_batch", "unused", "written"]
 
@@ -23,17 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, label: str, most_rows: int = 300_000, weight: str | None = None) -> DataFrame:
-    """A table of short rows, written, and marked for broadcast only if it has shown to be small.
-
-    It has at most ``most_rows`` rows then (with ``weight``, an expression, that sum to at most four times as much). A larger one
-    is joined as Catalyst sees fit, by shuffling both sides.
-    """
-    df = written(df, label)
-    rows, sum_of = df.agg(F.count("*"), F.sum(F.expr(weight or "1"))).first()
-    return F.broadcast(df) if rows <= most_rows and (sum_of or 0) <= 4 * most_rows else df
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names that a table does not have, in any case of their letters."""
     taken, out = {c.lower() for c in df.columns}, []
