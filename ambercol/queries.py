@@ -322,7 +322,7 @@ add("block_index", lambda s, d: block_table(s, d).index().select(F.col("block").
 
 def streamed(spark, d):
     path = block_table(spark, d).path
-    stream = incremental.stream_files(spark, path, "event_id long, user_id long, value double, row long, block long", 4)
+    stream = incremental.stream_files(spark, path, "event_id long, user_id long, value double, row long, block long", 4, least_bytes=32 << 20)
     return rounded(incremental.finished(incremental.grouped(stream, ["user_id"], {"value": ("sum", "count")})), 2)
 
 

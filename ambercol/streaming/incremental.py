@@ -9,8 +9,16 @@ from ..operators.grouping import aggregate
 from ..plans.scratch import scratch_path
 
 
-def stream_files(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, some files at a time."""
+def stream_files(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, least_bytes: int = 0) -> DataFrame:
+    """A folder of Parquet files as a stream, some files at a time.
+
+    A trigger takes ``files_per_trigger`` files, or more of small ones: as many as come to ``least_bytes`` at the mean size of those
+    that are there now. What a batch costs besides its rows (log, plan, state of each partition) is some seconds on any size.
+    """
+    if least_bytes:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder)
+        files_per_trigger = max(files_per_trigger, least_bytes * found.getFileCount() // max(1, found.getLength()))
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import random as rnd
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -272,3 +273,30 @@ def test_blocks_resume_and_stream(spark, tmp_path):
     stream = incremental.stream_files(spark, path, "id long, k long, row long, block long", 1)
     got = {r.k: r.id_sum for r in incremental.finished(incremental.grouped(stream, ["k"], {"id": ("sum",)})).collect()}
     assert got == {k: sum(range(k, 25, 3)) for k in range(3)}
+
+
+def batches(spark, tmp_path, stream):
+    """The batches that a stream takes over what is there, and its rows."""
+    q = incremental.grouped(stream, [], {"id": ("count",)}).writeStream.outputMode("complete").format("memory").queryName(f"b{tmp_path.name}").option("checkpointLocation", f"file://{tmp_path}/state-{rnd.random()}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.lastProgress["batchId"] + 1, spark.table(f"b{tmp_path.name}").first()[0]
+
+
+def test_small_files_of_a_stream_are_taken_together(spark, tmp_path):
+    path = f"file://{tmp_path}/blocks"
+    blocks.build_blocks(spark.range(90), path, ["id"], 10)
+    kind = "id long, row long, block long"
+    size = sum(f.stat().st_size for f in (tmp_path / "blocks").rglob("*.parquet"))
+    assert batches(spark, tmp_path, incremental.stream_files(spark, path, kind, 4)) == (3, 90)
+    assert batches(spark, tmp_path, incremental.stream_files(spark, path, kind, 4, size)) == (1, 90)
+    assert batches(spark, tmp_path, incremental.stream_files(spark, path, kind, 1, size * 5 // 9 + 9)) == (2, 90)
+    assert batches(spark, tmp_path, incremental.stream_files(spark, path, kind, 4, 1)) == (3, 90)
+
+
+def test_stream_group_does_not_pay_for_a_batch_of_four_thousand_rows(spark):
+    from ambercol.queries import QUERIES
+
+    kept = lambda: {f for f in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("ambercol/stream-*/state/commits/[0-9]*")}
+    before = kept()
+    assert QUERIES["stream_group"](spark, "/root/testdata/sf0.01").count() == 150
+    assert len(kept() - before) == 1
