@@ -40,7 +40,8 @@ def divide_int(a: Column, b: Column) -> Column:
 
 def wrap_int32(c: Column) -> Column:
     """A 64-bit value reduced to 32 bits with wrap-around."""
-    return (F.pmod(c + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)).cast("int")
+    # reduced before the addition too, which would overflow near the end of 64 bits
+    return (F.pmod(F.pmod(c, F.lit(1 << 32)) + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)).cast("int")
 
 
 def round_half_even(c: Column, ndigits: int = 0) -> Column:

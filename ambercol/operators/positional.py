@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import fail
 from ..functions.numeric import divide, wrap_int32
 from ..plans.order import ranked, running, with_window
+from ..types import is_integer
 
 
 def _order(order_by: str | list[str]) -> list[str]:
@@ -22,8 +23,12 @@ def shift(df: DataFrame, column: str, n: int, out: str, order_by: str | list[str
 
 
 def cumsum(df: DataFrame, column: str, out: str, order_by: str | list[str], partition_by: list[str] | None = None, wrap: bool = False) -> DataFrame:
-    """Inclusive running sum. NULL adds 0 and stays NULL; with ``wrap`` the result is reduced to 32 bits."""
-    rows = running(df, {"__sum": F.coalesce(F.col(column), F.lit(0))}, _order(order_by), partition_by)
+    """Inclusive running sum. NULL adds 0 and stays NULL; with ``wrap`` the result is reduced to 32 bits.
+
+    Integers are then reduced before they are added too, so that 64 bits hold the sums of 2^32 rows of any size.
+    """
+    addend = wrap_int32(F.col(column)).cast("long") if wrap and is_integer(df.schema[column].dataType) else F.col(column)
+    rows = running(df, {"__sum": F.coalesce(addend, F.lit(0))}, _order(order_by), partition_by)
     total = wrap_int32(F.col("__sum")) if wrap else F.col("__sum")
     return rows.withColumn(out, F.when(F.col(column).isNotNull(), total)).drop("__sum")
 

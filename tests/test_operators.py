@@ -104,6 +104,17 @@ def test_round_half_even_and_wrap(spark):
     assert [r.x for r in wrapped] == [-(2**31), 2**31 - 1]
 
 
+@pytest.mark.parametrize("parts", [None, ["g"]])
+def test_wrapped_sums_beyond_64_bits(spark, parts):
+    values = [2**63 - 1, 2**63 - 1, -(2**63), None, 2**62 + 12345, 2**62, 2**62 + 7, 5]
+    df = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "p long, g int, v long")
+    got = [r.x for r in positional.cumsum(df, "v", "x", "p", parts, wrap=True).orderBy("p").collect()]
+    sums = np.cumsum(np.array([v or 0 for v in values], dtype=object))
+    assert got == [None if v is None else (int(s) + 2**31) % 2**32 - 2**31 for v, s in zip(values, sums)]
+    halves = spark.createDataFrame([(i, 0, 0.5) for i in range(4)], "p long, g int, v double")
+    assert [r.x for r in positional.cumsum(halves, "v", "x", "p", parts, wrap=True).orderBy("p").collect()] == [0, 1, 1, 2]
+
+
 def test_patterns_and_first_match(spark):
     df = spark.createDataFrame([("id007",), ("id-3",), ("id",), ("x7",), (None,)], "v string")
     assert [r.x for r in df.select(text.encode_pattern(F.col("v"), "id").alias("x")).collect()] == [7, -3, None, None, None]
