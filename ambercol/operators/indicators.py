@@ -69,9 +69,10 @@ def _builders(x: Column, w: Window) -> dict[str, Callable[..., Column]]:
         return F.when(high(n) == low(n), F.when(F.isnan(high(n)), F.lit(NAN)).otherwise(50.0)).otherwise((valid - low(n)) / F.nullif(high(n) - low(n), F.lit(0.0)) * 100)
 
     def rsi(n):
-        # gains and losses were laid down as columns, so a window over them is no window over a window
-        up = full(n, lambda f: F.sum("__gain").over(f), 1) / n
-        down = full(n, lambda f: F.sum("__loss").over(f), 1) / n
+        # gains and losses were laid down as columns, so a window over them is no window over a window; sums, not means, as a
+        # division of both by n rounds, and a ratio that lies on a signal's level leaves it
+        up = full(n, lambda f: F.sum("__gain").over(f), 1)
+        down = full(n, lambda f: F.sum("__loss").over(f), 1)
         flat = F.when(up == 0, 50.0).otherwise(100.0)
         return F.when(F.isnan(up), F.lit(NAN)).when(down == 0, flat).otherwise(100.0 - 100.0 / (1.0 + up / F.nullif(down, F.lit(0.0))))
 

@@ -163,6 +163,17 @@ def test_indicators(spark, name, given):
     np.testing.assert_allclose(got, oracle(x, name, **given), rtol=1e-9)
 
 
+def test_a_ratio_on_the_level_stays_on_it(spark):
+    # gains are to losses as 3 to 2; their means over three rows are not, in binary
+    for x in ([19.81, 3.63, 14.1, 27.9], [21.26, 11.84, 22.28, 25.97], [14.72, 12.19, 9.94, 17.11], [5.72, 22.41, 4.17, 14.84]):
+        up, down = sum(max(b - a, 0.0) for a, b in zip(x, x[1:])), sum(max(a - b, 0.0) for a, b in zip(x, x[1:]))
+        rsi = 100 - 100 / (1 + up / down)
+        df = spark.createDataFrame(list(enumerate(x)), "p long, v double")
+        given = [("above", "above_sma", {"w": 3}), ("low", "rsi_lt", {"w": 3, "level": 60.0}), ("x", "cond_and", {"a": "above", "b": "low"}), ("high", "rsi_gt", {"w": 3, "level": 60.0}), ("r", "rsi", {"w": 3})]
+        last = indicators.indicators(df, "v", given, "p").orderBy("p").collect()[-1]
+        assert (last.r, last.x, last.low, last.high) == (rsi, int(rsi < 60), int(rsi < 60), int(rsi > 60))
+
+
 @pytest.mark.parametrize("spec", [[("a", "ema", {"w": 2})], [("a", "sma", {"w": 0})], [("a", "sma", {"w": 2, "src": "b"})], [("a", "sma", {"w": 2}), ("a", "sma", {"w": 3})], [("a", "cond_and", {"a": "x", "b": "y"})], [("a", "rstd", {"w": 2, "ddof": 2})]])
 def test_indicator_refusals(spark, spec):
     with pytest.raises(ValueError, match="Fix:"):
