@@ -29,7 +29,9 @@ def mod(a: Column, b: Column) -> Column:
 def divide(a: Column, b: Column) -> Column:
     """Quotient in double precision; x/0 is an infinity or NaN, as for IEEE floats."""
     a, b = a.cast("double"), b.cast("double")
-    at_zero = F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf"))).when(a.isNotNull(), F.lit(float("nan")))
+    # NaN is above all numbers for Spark; -0.0 equals 0.0, only its text tells it apart
+    sign = F.when(b.cast("string") == "-0.0", F.lit(-1.0)).otherwise(F.lit(1.0))
+    at_zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, sign * float("inf")).when(a < 0, sign * float("-inf"))
     return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
 
@@ -54,6 +56,18 @@ def round_half_even(c: Column, ndigits: int = 0) -> Column:
     return F.when(odd, x).when(F.abs(scaled) <= float(1 << 53), F.rint(scaled) / scale)
 
 
+def round_half_away(x: Column, digits: int = 0) -> Column:
+    """A double rounded in binary, half away from zero: the scaled value is rounded, where Spark rounds the shortest decimal.
+
+    NaN, infinities and the sign of zero stay, and values that scaling would make infinite.
+    """
+    scale = F.lit(10.0 ** abs(digits))
+    # a rounding of the magnitude, as Spark's gives 0.0 for small negative values
+    whole = F.round(F.abs(x * scale if digits >= 0 else x / scale)) * F.signum(x)
+    out = whole / scale if digits >= 0 else whole * scale
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+
 def ne_nan(a: Column, b: Column) -> Column:
     """a != b where NaN differs from itself."""
     return (a != b) | F.isnan(a) | F.isnan(b)

@@ -1,7 +1,8 @@
 """Technical indicators over trailing rows, many outputs in one pass over the ordered rows.
 
-A spec names an output, an indicator and its parameters. Windows must be full; a NULL or NaN in one gives NaN. Signals are 0 or 1,
-and NaN compares false.
+A spec names an output, an indicator and its parameters. Windows must be full; a NULL or NaN in one gives NaN, or NULL where that is
+asked for (``missing``). Returns and rates of change over 0 are infinite, or NaN for 0 over 0, as for IEEE floats. Signals are 0 or
+1, and NaN compares false.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import fail
+from ..functions.numeric import divide
 from ..plans.order import with_window
 
 NAN = float("nan")
@@ -50,17 +52,19 @@ def _validated(outputs: list[tuple[str, str, dict]]) -> None:
         seen[name] = op
 
 
-def _builders(x: Column, w: Window) -> dict[str, Callable[..., Column]]:
+def _builders(x: Column, w: Window, missing: float | None = NAN) -> dict[str, Callable[..., Column]]:
     valid = F.when(~F.isnan(x), x)
+    gap = F.lit(missing).cast("double")
 
     def full(width: int, value: Callable[[Window], Column], reach: int = 0) -> Column:
         frame = w.rowsBetween(-(width - 1), Window.currentRow)
         wide = w.rowsBetween(-(width - 1 + reach), Window.currentRow)
         there = (F.count(F.lit(1)).over(frame) == width) & (F.count(valid).over(wide) == F.count(F.lit(1)).over(wide))
-        return F.when(there, value(frame)).otherwise(F.lit(NAN))
+        return F.when(there, value(frame)).otherwise(gap)
 
     before = lambda n: F.lag(valid, n).over(w)
-    or_nan = lambda c: F.coalesce(c, F.lit(NAN))
+    growth = lambda n: divide(x, F.lag(x, n).over(w)) - 1
+    or_nan = lambda c: F.coalesce(c, gap)
     mean = lambda n: full(n, lambda f: F.avg(valid).over(f))
     std = lambda n, ddof=0: full(n, lambda f: F.sqrt(F.var_pop(valid).over(f) * n / (n - ddof)) if ddof else F.stddev_pop(valid).over(f))
     low, high = (lambda n: full(n, lambda f: F.min(valid).over(f))), (lambda n: full(n, lambda f: F.max(valid).over(f)))
@@ -81,14 +85,14 @@ def _builders(x: Column, w: Window) -> dict[str, Callable[..., Column]]:
         "sma": lambda w: mean(w), "rsum": lambda w: full(w, lambda f: F.sum(valid).over(f)), "rmin": lambda w: low(w), "rmax": lambda w: high(w), "rstd": lambda w, ddof=0: std(w, ddof),
         "boll_up": lambda w, k: mean(w) + std(w) * k, "boll_lo": lambda w, k: mean(w) - std(w) * k,
         "zscore": lambda w: F.when(std(w) == 0, 0.0).otherwise(or_nan((valid - mean(w)) / F.nullif(std(w), F.lit(0.0)))), "stoch_k": lambda w: or_nan(stoch(w)), "rsi": lambda w: rsi(w),
-        "mom": lambda lag: or_nan(valid - before(lag)), "roc": lambda lag: or_nan((valid / F.nullif(before(lag), F.lit(0.0)) - 1) * 100), "returns": lambda: or_nan(valid / F.nullif(before(1), F.lit(0.0)) - 1),
+        "mom": lambda lag: or_nan(valid - before(lag)), "roc": lambda lag: or_nan((valid / F.nullif(before(lag), F.lit(0.0)) - 1) * 100), "returns": lambda: or_nan(growth(1)),
         "axpb": lambda a, b: or_nan(valid * a + b), "map_div": lambda v: or_nan(valid / F.nullif(F.lit(float(v)), F.lit(0.0))),
         "above_sma": lambda w: signal((valid > mean(w)) & ~F.isnan(mean(w))), "rsi_lt": lambda w, level: signal((rsi(w) < level) & ~F.isnan(rsi(w))), "rsi_gt": lambda w, level: signal((rsi(w) > level) & ~F.isnan(rsi(w))),
     }
 
 
-def indicators(df: DataFrame, column: str, outputs: list[tuple[str, str, dict]], order_by: str | list[str], partition_by: list[str] | None = None) -> DataFrame:
-    """Add an output column for each (name, indicator, parameters)."""
+def indicators(df: DataFrame, column: str, outputs: list[tuple[str, str, dict]], order_by: str | list[str], partition_by: list[str] | None = None, missing: float | None = NAN) -> DataFrame:
+    """Add an output column for each (name, indicator, parameters); ``missing`` stands where a window is not full."""
     _validated(outputs)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     reach = max([1, *(p.get("w", 0) + 1 for _, _, p in outputs), *(p.get("lag", 0) + 1 for _, _, p in outputs), 2])
@@ -96,7 +100,7 @@ def indicators(df: DataFrame, column: str, outputs: list[tuple[str, str, dict]],
     rows = with_window(df, order, 2, lambda w: {"__step": F.when(~F.isnan(x), x) - F.lag(F.when(~F.isnan(x), x)).over(w)}, partition_by)
     rows = rows.withColumns({"__gain": F.greatest(F.coalesce("__step", F.lit(0.0)), F.lit(0.0)), "__loss": F.greatest(-F.coalesce("__step", F.lit(0.0)), F.lit(0.0))})
     plain = [o for o in outputs if o[1] != "cond_and"]
-    out = with_window(rows, order, reach, lambda w: {name: _builders(x, w)[op](**given) for name, op, given in plain}, partition_by)
+    out = with_window(rows, order, reach, lambda w: {name: _builders(x, w, missing)[op](**given) for name, op, given in plain}, partition_by)
     for name, op, given in outputs:
         if op == "cond_and":
             out = out.withColumn(name, (F.col(given["a"]) * F.col(given["b"])).cast("int"))

@@ -34,9 +34,10 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded, so that the order of additions does not show; NaN as NULL."""
-    return df.select(*(F.when(~F.isnan(f"`{n}`"), F.round(f"`{n}`", digits)).alias(n) if k == "double" else F.col(f"`{n}`") for n, k in df.dtypes))
+def rounded(df: DataFrame, digits: int = 4, nan: bool = False) -> DataFrame:
+    """Doubles rounded as SQL does, so that the order of additions does not show; NaN as NULL, unless it is to stay."""
+    keep = lambda n: F.lit(True) if nan else ~F.isnan(f"`{n}`")
+    return df.select(*(F.when(keep(n), numeric.round_half_away(F.col(f"`{n}`"), digits)).alias(n) if k == "double" else F.col(f"`{n}`") for n, k in df.dtypes))
 
 
 def lineitem(spark, d):
@@ -223,7 +224,7 @@ for name, given, sql, source in (
     ("rsi", {"w": 10}, f"round({_RSI}, 4)", _STEP), ("rsi_lt", {"w": 10, "level": 45.0}, f"CAST(coalesce({_RSI} < 45, false) AS INTEGER)", _STEP), ("rsi_gt", {"w": 10, "level": 55.0}, f"CAST(coalesce({_RSI} > 55, false) AS INTEGER)", _STEP), ("above_sma", {"w": 10}, f"CAST(coalesce(value > {_FULL.format('avg(value) OVER w')}, false) AS INTEGER)", "events"),
     ("mom", {"lag": 4}, "round(value - lag(value, 4) OVER (ORDER BY event_id), 4)", "events"), ("roc", {"lag": 4}, "round((value / lag(value, 4) OVER (ORDER BY event_id) - 1) * 100, 4)", "events"), ("returns", {}, "round(value / lag(value) OVER (ORDER BY event_id) - 1, 4)", "events"), ("axpb", {"a": 2.0, "b": 1.0}, "round(value * 2 + 1, 4)", "events"), ("map_div", {"v": 4.0}, "round(value / 4, 4)", "events"),
 ):
-    add(f"ind_{name}", (lambda n, g: lambda s, d: rounded(indicators.indicators(t(s, d, "events"), "value", [("x", n, g)], "event_id").select("event_id", "x")))(name, given), f"SELECT event_id, {sql} AS x FROM {source} {_W}")
+    add(f"ind_{name}", (lambda n, g: lambda s, d: rounded(indicators.indicators(t(s, d, "events"), "value", [("x", n, g)], "event_id", missing=None).select("event_id", "x"), nan=True))(name, given), f"SELECT event_id, {sql} AS x FROM {source} {_W}")
 add("ind_cond_and", lambda s, d: indicators.indicators(t(s, d, "events"), "value", [("a", "above_sma", {"w": 10}), ("b", "rsi_lt", {"w": 10, "level": 60.0}), ("x", "cond_and", {"a": "a", "b": "b"})], "event_id").select("event_id", "x"), f"SELECT event_id, CAST(coalesce(value > {_FULL.format('avg(value) OVER w')}, false) AND coalesce({_RSI} < 60, false) AS INTEGER) AS x FROM {_STEP} {_W}")
 
 # -- lanes

@@ -104,6 +104,19 @@ def test_round_half_even_and_wrap(spark):
     assert [r.x for r in wrapped] == [-(2**31), 2**31 - 1]
 
 
+def test_round_half_away_is_that_of_sql(spark):
+    import duckdb
+
+    values = [1.0 / 3, -0.00003, 0.00003, -0.0, 0.0, 2.5, -2.5, 20.35 / 40 - 1, 51.0 / 74.76 - 1, 0.49999999999999994, 1e300, -1e305, 123456789012.345678, float("inf"), float("-inf"), float("nan"), None]
+    values += [k / 1600 - 1 for k in range(1, 1600, 7)] + [round(k / 100, 2) / 16.0 for k in range(500)]
+    df = spark.createDataFrame(list(enumerate(values)), "p long, v double")
+    got = [r.x for r in df.select("p", numeric.round_half_away(F.col("v"), 4).alias("x")).orderBy("p").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (p BIGINT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    assert list(map(repr, got)) == [repr(r[0]) for r in con.execute("SELECT round(v, 4) FROM t ORDER BY p").fetchall()]
+
+
 @pytest.mark.parametrize("parts", [None, ["g"]])
 def test_wrapped_sums_beyond_64_bits(spark, parts):
     values = [2**63 - 1, 2**63 - 1, -(2**63), None, 2**62 + 12345, 2**62, 2**62 + 7, 5]
@@ -174,6 +187,23 @@ def test_a_ratio_on_the_level_stays_on_it(spark):
         assert (last.r, last.x, last.low, last.high) == (rsi, int(rsi < 60), int(rsi < 60), int(rsi > 60))
 
 
+ZEROS = [3.0, 0.0, 0.0, -2.0, 0.0, -0.0, 1.0, None, 2.0, float("nan"), 0.0, 5.0]
+
+
+def ieee(a, b):
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return None if a is None or b is None else float(np.float64(a) / np.float64(b) - 1)
+
+
+def test_returns_over_zero_are_infinite(spark):
+    df = spark.createDataFrame(list(enumerate(ZEROS)), "p long, v double")
+    said = [None, *(ieee(a, b) for b, a in zip(ZEROS, ZEROS[1:]))]
+    got = [r.x for r in indicators.indicators(df, "v", [("x", "returns", {})], "p", missing=None).orderBy("p").collect()]
+    assert list(map(str, got)) == list(map(str, said))
+    plain = [r.x for r in indicators.indicators(df, "v", [("x", "returns", {})], "p").orderBy("p").collect()]
+    assert list(map(str, plain)) == [str(float("nan") if v is None else v) for v in said]
+
+
 @pytest.mark.parametrize("spec", [[("a", "ema", {"w": 2})], [("a", "sma", {"w": 0})], [("a", "sma", {"w": 2, "src": "b"})], [("a", "sma", {"w": 2}), ("a", "sma", {"w": 3})], [("a", "cond_and", {"a": "x", "b": "y"})], [("a", "rstd", {"w": 2, "ddof": 2})]])
 def test_indicator_refusals(spark, spec):
     with pytest.raises(ValueError, match="Fix:"):
