@@ -85,7 +85,7 @@ def _builders(x: Column, w: Window, missing: float | None = NAN) -> dict[str, Ca
         "sma": lambda w: mean(w), "rsum": lambda w: full(w, lambda f: F.sum(valid).over(f)), "rmin": lambda w: low(w), "rmax": lambda w: high(w), "rstd": lambda w, ddof=0: std(w, ddof),
         "boll_up": lambda w, k: mean(w) + std(w) * k, "boll_lo": lambda w, k: mean(w) - std(w) * k,
         "zscore": lambda w: F.when(std(w) == 0, 0.0).otherwise(or_nan((valid - mean(w)) / F.nullif(std(w), F.lit(0.0)))), "stoch_k": lambda w: or_nan(stoch(w)), "rsi": lambda w: rsi(w),
-        "mom": lambda lag: or_nan(valid - before(lag)), "roc": lambda lag: or_nan((valid / F.nullif(before(lag), F.lit(0.0)) - 1) * 100), "returns": lambda: or_nan(growth(1)),
+        "mom": lambda lag: or_nan(valid - before(lag)), "roc": lambda lag: or_nan(growth(lag) * 100), "returns": lambda: or_nan(growth(1)),
         "axpb": lambda a, b: or_nan(valid * a + b), "map_div": lambda v: or_nan(valid / F.nullif(F.lit(float(v)), F.lit(0.0))),
         "above_sma": lambda w: signal((valid > mean(w)) & ~F.isnan(mean(w))), "rsi_lt": lambda w, level: signal((rsi(w) < level) & ~F.isnan(rsi(w))), "rsi_gt": lambda w, level: signal((rsi(w) > level) & ~F.isnan(rsi(w))),
     }

@@ -204,6 +204,13 @@ def test_returns_over_zero_are_infinite(spark):
     assert list(map(str, plain)) == [str(float("nan") if v is None else v) for v in said]
 
 
+def test_rates_of_change_over_zero_are_infinite(spark):
+    df = spark.createDataFrame(list(enumerate(ZEROS)), "p long, v double")
+    said = [None, None, *(None if (v := ieee(a, b)) is None else v * 100 for b, a in zip(ZEROS, ZEROS[2:]))]
+    got = [r.x for r in indicators.indicators(df, "v", [("x", "roc", {"lag": 2})], "p", missing=None).orderBy("p").collect()]
+    assert list(map(str, got)) == list(map(str, said))
+
+
 @pytest.mark.parametrize("spec", [[("a", "ema", {"w": 2})], [("a", "sma", {"w": 0})], [("a", "sma", {"w": 2, "src": "b"})], [("a", "sma", {"w": 2}), ("a", "sma", {"w": 3})], [("a", "cond_and", {"a": "x", "b": "y"})], [("a", "rstd", {"w": 2, "ddof": 2})]])
 def test_indicator_refusals(spark, spec):
     with pytest.raises(ValueError, match="Fix:"):
