@@ -211,7 +211,7 @@ add("cumsum_partitioned", lambda s, d: positional.cumsum(t(s, d, "orders"), "o_o
 add("scan_exclusive", lambda s, d: positional.exclusive_sum(t(s, d, "events"), "user_id", "x", "event_id").select("event_id", "x"), "SELECT event_id, CAST(coalesce(sum(user_id) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x FROM events")
 add("rolling_sum", lambda s, d: rounded(positional.rolling_sum(t(s, d, "events"), "value", 5, "x", "event_id", 2).select("event_id", "x")), "SELECT event_id, CASE WHEN count(*) OVER w >= 2 THEN round(sum(value) OVER w, 4) END AS x FROM events WINDOW w AS (ORDER BY event_id ROWS 4 PRECEDING)")
 add("rolling_mean", lambda s, d: rounded(events(s, d).derive("x", c("value").rolling(7, "mean")).select("event_id", "x").compile().df), "SELECT event_id, CASE WHEN count(*) OVER w >= 7 THEN round(sum(value) OVER w / 7, 4) END AS x FROM events WINDOW w AS (ORDER BY event_id ROWS 6 PRECEDING)")
-add("returns", lambda s, d: rounded(positional.returns(t(s, d, "events"), "value", "x", "event_id").select("event_id", "x")), "SELECT event_id, round(value / lag(value) OVER (ORDER BY event_id) - 1, 4) AS x FROM events")
+add("returns", lambda s, d: rounded(positional.returns(t(s, d, "events"), "value", "x", "event_id").select("event_id", "x"), nan=True), "SELECT event_id, round(value / lag(value) OVER (ORDER BY event_id) - 1, 4) AS x FROM events")
 
 _W = "WINDOW w AS (ORDER BY event_id ROWS 9 PRECEDING)"
 _FULL = "CASE WHEN count(*) OVER w = 10 THEN {} END"

@@ -39,3 +39,13 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", ["returns", "ind_returns", "ind_roc"])
+def test_zeros_and_ties_as_in_sql(spark, tmp_path, name):
+    """0 over 0 is NaN and no row before is NULL; the ties and the sign of zero are those of SQL's rounding."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT row_number() OVER () - 1 AS event_id, unnest([16.0, 16.01, 0, 0, 0, 0, 0, 3, 40, 20.35, 74.76, 51, 40000, 39999.9, 1e-4, 0.1, 160, 91.5])::DOUBLE AS value) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    said = con.execute(f"SELECT x FROM ({SQL[name]}) ORDER BY event_id").fetchall()
+    assert [repr(r.x) for r in QUERIES[name](spark, str(tmp_path)).orderBy("event_id").collect()] == [repr(x) for (x,) in said]
